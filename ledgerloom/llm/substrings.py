@@ -72,7 +72,7 @@ class _Sender:
     """Documents gathered until they are cut into super-k-mers and packed per bucket."""
 
     def __init__(self, buckets: int, often: int):
-        self.often, self.buckets, self.hashes, self.pack = buckets, _Hashes(), zstandard.ZstdCompressor(level=3).compress
+        self.often, self.buckets, self.hashes, self.pack = often, buckets, _Hashes(), zstandard.ZstdCompressor(level=3).compress
         self.reset()
 
     def reset(self) -> None:
