@@ -12,6 +12,7 @@ documents, ranked within their class, take the places.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -25,38 +26,75 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..storage import written
-from .words import Packed, sliced, words
+from .bpe import mapped
+from .words import Packed, sliced
 
 LIMIT = 4096
 GRAIN = 8
 END_ID = 2
 
 
+#: ASCII punctuation and letters or digits.
+MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+ALNUM = frozenset(c for c in range(0x21, 0x7F) if chr(c).isalnum())
+
+
+def _lower_letters(run: bytes) -> bool:
+    """Whether normaliser and pre-tokeniser leave the run as it is, one pre-token, so that the model alone suffices.
+
+    So it is for lower-case letters below U+0250: they are composed already.
+    """
+    if run.isalpha():
+        return run.islower()
+    word = run.decode()
+    return word.isalpha() and max(word) < "\u0250" and word == word.lower()
+
+
 class Ids:
     """Ids by a ``tokenizers`` file, remembered per white-space-free run.
 
     Neither its normaliser nor its pre-tokens reach across ASCII white space,
-    so the ids of a text are those of its runs, one after another.
+    so the ids of a text are those of its runs, one after another. It lowers
+    case first, so runs are looked up in lower case, unless the text may hold
+    the name of a special token. A letter or digit and the punctuation that
+    ends its run are apart as well, so a new run is first parted there.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Packed()
+        self.known = Packed(500_000)
 
-    def _pack(self, runs: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _learn(self, runs: list[bytes]) -> None:
+        other, tokenize = [], self.tokenizer.model.tokenize
+        for r in runs:
+            if _lower_letters(r):
+                self.known[r] = array("I", [t.id for t in tokenize(mapped(r))]).tobytes()
+            else:
+                other.append(r)
+        for at in range(0, len(other), 10_000):
+            some = other[at : at + 10_000]
+            found = self.tokenizer.encode_batch_fast([r.decode() for r in some], add_special_tokens=False)
+            self.known.update((r, array("I", e.ids).tobytes()) for r, e in zip(some, found))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [words(t) for t in texts]
-        seen = {w for p in parts for w in p}
-        if len(self.known) + len(seen) > self.known.limit:
-            self.known.clear()
-        missing = [w for w in seen if w not in self.known]
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            self.known.update(zip(some, self._pack(some)))
-        get = self.known.__getitem__
+        parts = []
+        for t in texts:
+            data = t.encode() if t else b""
+            parts.append((data if b"<|" in data else data.lower()).split())
+        known, seen = self.known, set().union(*parts)
+        if len(known) + 2 * len(seen) > known.limit:
+            known.clear()
+        new, halves, need = [r for r in seen if r not in known], [], []
+        for r in new:
+            core = r.rstrip(MARKS)
+            if core and len(core) < len(r) and core[-1] in ALNUM and b"<|" not in r:
+                halves.append((r, core, r[len(core) :]))
+                need += halves[-1][1:]
+            else:
+                need.append(r)
+        self._learn([r for r in set(need) if r not in known])
+        known.update((r, known[core] + known[tail]) for r, core, tail in halves)
+        get = known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
@@ -68,43 +106,40 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ``ids``: the ids of the whole text and the end id, packed as little-endian 32-bit integers."""
-    end = np.array([end_id], "<u4").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = ids_of(path)
-        for batch in batches:
-            for part in sliced(batch, "text"):
-                ids = [x + end for x in t.encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+def _cut(doc_ids: pa.Array, ids: list[bytes], limit: int) -> pa.RecordBatch:
+    at, start, length, crc, total = [], [], [], [], []
+    for i, data in enumerate(ids):
+        view, n = memoryview(data), len(data) // 4
+        for s in range(0, n, limit):
+            e = min(s + limit, n)
+            at.append(i)
+            start.append(s)
+            length.append(e - s)
+            crc.append(zlib.crc32(view[4 * s : 4 * e]))
+            total.append(n)
+    longs = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
+    return pa.RecordBatch.from_arrays(
+        [doc_ids.take(pa.array(at, pa.int64())), *longs], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
 
+def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
+    """Tokenise whole texts, add the end id and cut at multiples of the limit.
 
-def pieces(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Cut each document at multiples of the limit: doc_id, start, length, ids_crc32, doc_tokens."""
-    kind = dict(rows.dtypes)["doc_id"]
+    One row per piece: doc_id, start, length, ids_crc32, doc_tokens.
+    """
+    kind, end = dict(docs.dtypes)["doc_id"], np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = ids_of(path)
         for batch in batches:
-            at, start, length, crc, total = [], [], [], [], []
-            for i, ids in enumerate(batch.column("ids")):
-                data = ids.as_buffer()
-                view, n = memoryview(data), data.size // 4
-                for s in range(0, n, limit):
-                    e = min(s + limit, n)
-                    at.append(i)
-                    start.append(s)
-                    length.append(e - s)
-                    crc.append(zlib.crc32(view[4 * s : 4 * e]))
-                    total.append(n)
-            doc = batch.column("doc_id").take(pa.array(at, pa.int64()))
-            longs = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-            yield pa.RecordBatch.from_arrays([doc, *longs], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+            for part in sliced(batch, "text", 2_000_000):
+                ids = [x + end for x in t.encode(part.column("text").to_pylist())]
+                yield _cut(part.column("doc_id"), ids, limit)
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+    )
 
 
 def best_pattern(price: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
@@ -294,7 +329,7 @@ def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, grain: int =
     any other; repeated rows are packed once each. An empty table gives no
     rows. Columns beside doc_id and text take no part.
     """
-    cut = pieces(tokenised(docs, path), limit)
+    cut = pieces(docs, path, limit)
     return pack(cut, limit, grain).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
