@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, sharding, simhash, substrings, topk, warc
+from . import bpe, packing, pii, quality, sharding, simhash, substrings, topk, url_lists, warc
+
+#: The key of a run belongs in a secret store; this one is for demonstration.
+DEMO_KEY = b"ledgerloom demonstration key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +31,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages"))
 
 
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    entries = url_lists.example_entries(pages)
+    found = url_lists.filter_captures(url_lists.example_captures(pages), entries)
+    return found.select("page_id", "host", F.col("fetch_date").cast("string").alias("fetch_date"), "verdict", "pattern")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,6 +55,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, DEMO_KEY).select("doc_id", "n_entities", "text")
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(_table(spark, sf_dir, "documents"))
 
@@ -53,10 +69,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_exact_topk,
         op2_sharding,
         op3_warc,
+        op4_url_lists,
         op5_packing,
         op6_byte_bpe,
         op7_quality,
         op8_simhash,
+        op9_pii,
         op10_substrings,
     )
     return {f.__name__: f for f in every}
@@ -79,6 +97,28 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to FROM g
 """
 
+OP4 = r"""
+WITH RECURSIVE captures AS (
+  SELECT page_id, CAST(DATE '2020-01-01' + CAST(page_id * 37 % 1461 AS INTEGER) AS DATE) AS fetch_date,
+    lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host FROM pages),
+tails(host, tail) AS (
+  SELECT DISTINCT host, host FROM captures WHERE host <> ''
+  UNION ALL
+  SELECT host, substr(tail, strpos(tail, '.') + 1) FROM tails WHERE len(tail) - len(replace(tail, '.', '')) >= 2),
+firsts AS (SELECT tail AS pattern, min(page_id) AS m FROM tails JOIN captures USING (host) GROUP BY 1),
+entries AS (
+  SELECT pattern, k, CAST(DATE '2020-01-01' + CAST((m * 7 + k * 241) % 1461 AS INTEGER) AS DATE) AS entry_date,
+    ['block', 'allow', 'drop'][(m + k) % 3 + 1] AS action
+  FROM firsts, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k)),
+daily AS (SELECT pattern, entry_date, arg_max(action, k) AS action FROM entries GROUP BY 1, 2),
+asked AS (SELECT DISTINCT c.host, c.fetch_date, t.tail AS pattern FROM captures c JOIN tails t USING (host)),
+found AS (SELECT a.host, a.fetch_date, a.pattern, d.action FROM asked a ASOF JOIN daily d ON a.pattern = d.pattern AND a.fetch_date >= d.entry_date),
+best AS (SELECT host, fetch_date, arg_max(pattern, len(pattern)) AS pattern, arg_max(action, len(pattern)) AS verdict
+  FROM found WHERE action <> 'drop' GROUP BY 1, 2)
+SELECT c.page_id, c.host, CAST(c.fetch_date AS VARCHAR) AS fetch_date, coalesce(b.verdict, 'pass') AS verdict, b.pattern
+FROM captures c LEFT JOIN best b USING (host, fetch_date)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1, "op3_warc": OP3}
+    return {"op1_exact_topk": OP1, "op3_warc": OP3, "op4_url_lists": OP4}

@@ -48,16 +48,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row, from whole texts."""
+    """Add fp, the fingerprint of the whole text as a signed long, to each row."""
+    rest = docs.drop("fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text"):
                 fp = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp.view(np.int64))], [*part.schema.names, "fp"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return rest.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rest.dtypes) + ", fp long")
 
 
 def band_masks(levels: int = LEVELS, parts: int = RADIUS + 1) -> list[list[int]]:
@@ -230,6 +230,12 @@ def links(bucketed: DataFrame, rows_at_once: int = 50_000) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long")
 
 
+def classes(distinct: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """Add ``root``, one fingerprint for each class of linked ones, to a table of distinct ones."""
+    roots = connected_components(links(buckets(distinct.select("fp"), largest))).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, largest: int = LARGEST) -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id that links of at most three bits can reach.
 
@@ -239,13 +245,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, largest: int = LARG
     names it, unless it has no other member (NULL then). An empty table gives
     no rows; columns beside doc_id and text take no part.
     """
-    marked = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(buckets(distinct.select("fp"), largest))).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    marked = written(fingerprints(docs.select("doc_id", "text"), shingle).drop("text"), "fingerprints")
+    rooted = classes(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), largest)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select(
+        "doc_id", "fp", "component_id"
+    )
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, largest: int = LARGEST) -> DataFrame:
+    """One row of each class: that with the smallest doc_id, of equal ones any, one with a NULL id only if all have it."""
+    marked = fingerprints(docs, shingle).withColumn("_row", F.monotonically_increasing_id())
+    marked = written(marked, "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
+    rooted = classes(marked.groupBy("fp").agg(first.alias("least")), largest)
+    chosen = rooted.groupBy("root").agg(F.min("least")["_row"].alias("_row")).select("_row")
+    return marked.join(chosen, "_row", "left_semi").select(*docs.columns)
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
