@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +51,16 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         if root.removeprefix("file:").lstrip("/") in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession, rounds: int = 3) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which on its own may
+    come long after the disk is full. One collection frees the plans, the next
+    the shuffles they held; Spark's cleaner works beside, hence the pauses.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
