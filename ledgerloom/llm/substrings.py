@@ -26,25 +26,52 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import release, written
 from .words import words
 
 WINDOW = 13
 GRAM = 3
-SENDER_BYTES = 32 << 20
+SENDER_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 #: A string that one sender finds in more places keeps them apart from its bucket.
-OFTEN = 64
+OFTEN = 16
 
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+#: Odd numbers to mix with; kept in an array, where products wrap around silently.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+_BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
+_BASE = 0xD6E8FEB86659FD93
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64; kept, as every buffer needs them."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            row = np.full(n, base, np.uint64)
+            row[0] = 1
+            _POWERS[i] = np.cumprod(row)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class _Text:
+    """Lines of words that one space parts: where each word stands, and hashes of any run of bytes."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        byte = np.frombuffer(data, np.uint8)
+        newline = byte == 10
+        gap = np.flatnonzero(newline | (byte == 32))
+        self.start, self.end = np.r_[0, gap + 1], np.r_[gap, len(byte)]
+        self.line = np.r_[0, np.cumsum(newline[gap])]
+        up, self.down = _powers(len(byte) + 1)
+        self.sums = np.zeros(len(byte) + 1, np.uint64)
+        np.cumsum(_BYTE[byte] * up[:-1], out=self.sums[1:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit polynomial hash of the bytes from start to end."""
+        return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
 def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -72,49 +99,45 @@ class _Sender:
     """Documents gathered until they are cut into super-k-mers and packed per bucket."""
 
     def __init__(self, buckets: int, often: int):
-        self.often, self.buckets, self.hashes, self.pack = often, buckets, _Hashes(), zstandard.ZstdCompressor(level=3).compress
+        self.often, self.buckets, self.pack = often, buckets, zstandard.ZstdCompressor(level=5).compress
         self.reset()
 
     def reset(self) -> None:
-        self.words, self.count, self.doc, self.tag, self.bytes = [], [], [], [], 0
+        self.lines, self.doc, self.tag, self.bytes = [], [], [], 0
 
     def add(self, doc: int, tag: int, text: str) -> None:
         w = words(text)
         if len(w) >= WINDOW:
-            self.words += w
-            self.count.append(len(w))
+            self.lines.append(b" ".join(w))
             self.doc.append(doc)
             self.tag.append(tag)
-            self.bytes += len(text)
+            self.bytes += len(self.lines[-1])
 
     def flush(self) -> Iterator[tuple[int, bytes | None, bytes]]:
         """(bucket, key of a string found often or None, packed body)."""
-        if not self.words:
+        if not self.lines:
             return
-        every, count = self.words, np.array(self.count)
-        h = np.fromiter(map(self.hashes.__getitem__, every), np.uint64, len(every))
-        lens = np.fromiter(map(len, every), np.int64, len(every))
-        key = minimisers(h, lens)
-        owner = np.repeat(np.arange(len(count)), count)
+        text = _Text(b"\n".join(self.lines))
+        key = minimisers(text.hashes(text.start, text.end), text.end - text.start)
+        owner = text.line
         valid = owner[: len(key)] == owner[WINDOW - 1 :]
         begin = valid.copy()
         begin[1:] &= ~valid[:-1] | (key[1:] != key[:-1]) | (owner[1 : len(key)] != owner[: len(key) - 1])
         first = np.flatnonzero(begin)
         ends = np.flatnonzero(valid & np.r_[~valid[1:] | begin[1:], True])
-        joined = b" ".join(every)
-        offset = np.r_[0, np.cumsum(lens + 1)]
         bucket = ((key[first] * _MIX[0]) >> np.uint64(24)) % np.uint64(self.buckets)
         order = np.argsort(bucket, kind="stable")
         first, ends, bucket = first[order], ends[order], bucket[order].astype(np.int64)
-        left, right = offset[first].tolist(), (offset[ends + WINDOW] - 1).tolist()
-        who = owner[first]
-        begins = np.cumsum(count) - count
+        left, right = text.start[first].tolist(), text.end[ends + WINDOW - 1].tolist()
+        who, data = owner[first], text.data
+        begins = np.searchsorted(owner, np.arange(len(self.lines)))
         doc, tag = np.array(self.doc, np.int64)[who], np.array(self.tag, np.int32)[who]
         start = (first - begins[who]).astype(np.int32)
+        del text, key, valid, begin
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() + [len(bucket)]
         for a, b in zip(cuts, cuts[1:]):
             index: dict[bytes, int] = {}
-            which = np.array([index.setdefault(joined[x:y], len(index)) for x, y in zip(left[a:b], right[a:b])])
+            which = np.array([index.setdefault(data[x:y], len(index)) for x, y in zip(left[a:b], right[a:b])])
             yield from self._body(int(bucket[a]), list(index), which, doc[a:b], tag[a:b], start[a:b])
         self.reset()
 
@@ -184,36 +207,24 @@ def send(docs: DataFrame, buckets: int, often: int = OFTEN) -> DataFrame:
     return docs.select("doc_id", "tag", "text").mapInArrow(run, SENT)
 
 
-def equal_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Sort the windows that start at ``at``; returns the order and where a new window begins in it.
+def equal_windows(text: _Text, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Sort the windows that begin at the words ``at``; returns the order and where a new window begins in it.
 
-    Windows are sorted by a 64-bit hash of their word numbers and neighbours
-    compared word by word; should two different windows share a hash, they are
-    sorted by the words themselves.
+    Windows are sorted by a 64-bit hash and neighbours of one hash compared
+    byte by byte; should two different windows share a hash, all that share
+    one are sorted by their bytes.
     """
-    table = np.random.default_rng(7).integers(0, 2**64, int(ids.max()) + 1, dtype=np.uint64)
-    h = table[ids]
-    total = np.zeros(len(at), np.uint64)
-    for j in range(window):
-        total = total * _MIX[0] + h[at + j]
-    order = np.argsort(total, kind="stable")
-
-    def differs(order: np.ndarray) -> np.ndarray:
-        new = np.ones(len(order), bool)
-        same = np.zeros(len(order), bool)
-        same[1:] = total[order[1:]] == total[order[:-1]]
-        near = np.flatnonzero(same)
-        x, y = at[order[near]], at[order[near - 1]]
-        equal = np.ones(len(near), bool)
-        for j in range(window):
-            equal &= ids[x + j] == ids[y + j]
-        new[near[equal]] = False
-        return new, bool((~equal).any())
-
-    new, clash = differs(order)
-    if clash:
-        order = np.lexsort([ids[at + j] for j in reversed(range(window))] + [total])
-        new, _ = differs(order)
+    start, end, data = text.start[at], text.end[at + window - 1], text.data
+    total = text.hashes(start, end)
+    order = np.argsort(total)
+    new = np.ones(len(order), bool)
+    near = np.flatnonzero(total[order[1:]] == total[order[:-1]]) + 1
+    spans = zip(*(x.tolist() for i in (order[near - 1], order[near]) for x in (start[i], end[i])))
+    new[near] = [data[a:b] != data[c:d] for a, b, c, d in spans]
+    if new[near].any():
+        lists = [data[a:b] for a, b in zip(start.tolist(), end.tolist())]
+        order = np.array(sorted(range(len(at)), key=lists.__getitem__))
+        new[1:] = [lists[i] != lists[j] for i, j in zip(order[1:], order[:-1])]
     return order, new
 
 
@@ -257,20 +268,12 @@ def judge(bodies: list[bytes]) -> Iterator[pd.DataFrame]:
         for held, x in zip((counts, docs, tags, starts, low, high), (c, doc, tag, start, first, last)):
             held.append(x)
     counts, docs, tags, starts, low, high = map(np.concatenate, (counts, docs, tags, starts, low, high))
-    vocabulary: dict[bytes, int] = {}
-    number = vocabulary.setdefault
-    ids, n_words = [], []
-    for s in strings:
-        w = s.split()
-        n_words.append(len(w))
-        ids += [number(x, len(vocabulary)) for x in w]
-    ids, n_words = np.array(ids, np.int64), np.array(n_words)
-    n_windows = n_words - WINDOW + 1
+    text = _Text(b"\n".join(strings))
+    n_windows = np.bincount(text.line, minlength=len(strings)) - WINDOW + 1
     of = np.repeat(np.arange(len(strings)), n_windows)
     base = np.cumsum(n_windows) - n_windows
-    place = np.arange(len(of)) - base[of]
-    at = (np.cumsum(n_words) - n_words)[of] + place
-    order, new = equal_windows(ids, at)
+    at = np.arange(len(of)) + (WINDOW - 1) * of  # words before: each earlier line has so many more than windows
+    order, new = equal_windows(text, at)
     least = np.empty(len(of), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(low[of[order]], np.flatnonzero(new)), np.diff(np.r_[np.flatnonzero(new), len(of)]))
     touched = np.zeros(len(strings), bool)
@@ -352,6 +355,7 @@ def repeated_runs(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     buckets = max(64, 3 * size // BUCKET_BYTES)
     known = docs.filter("doc_id is not null and text is not null")
     found = written(meet(send(known, buckets, often)), "windows")
+    release(docs.sparkSession)  # the strings' shuffle is the largest table of all and no longer needed
     near = found.filter("often is null").select("doc_id", "tag", "first", "last")
     return near.unionByName(_often_runs(found))
 
