@@ -34,7 +34,7 @@ STEPS = 4
 TAIL = 1e-5
 SCALE = 1024
 #: The transformed statistics, each with the least standard deviation that counts: spread below it is no sign of junk.
-FEATURES = {"f_words": 1.0, "f_length": 0.7, "f_symbols": 0.6, "f_lines": 0.6, "f_repeats": 0.6}
+FEATURES = {"f_words": 1.0, "f_length": 0.7, "f_symbols": 0.6, "f_lines": 0.9, "f_repeats": 0.9}
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
