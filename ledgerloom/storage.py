@@ -6,6 +6,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collects the paths of the tables that :func:`written` makes inside the block."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not paths]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to shared storage and read it back.
 
@@ -39,18 +55,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    for scope in _scopes:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written` that is no longer needed."""
-    root = scratch_dir(spark)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.removeprefix("file:").lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    root = scratch_dir(spark).removeprefix("file:").lstrip("/")
+    remove(spark, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles() if root in f}))
 
 
 def release(spark: SparkSession, rounds: int = 3) -> None:
