@@ -7,37 +7,65 @@ return the columns of ``documents``; ``n_chars`` follows the text.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import packing, pii, quality, simhash, substrings
 from ledgerloom.llm.queries import DEMO_KEY
-from ledgerloom.storage import written
+from ledgerloom.storage import remove, scratch_scope, written
+
+_scratch: list[str] = []
+
+
+def _stage(work):
+    """Delete the scratch tables of the stage before, whose result is written by now, and note this stage's own.
+
+    Tables that ``docs`` still reads stay.
+    """
+
+    @wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _scratch else []
+        held = [p for p in _scratch if any(p.rsplit("/", 1)[1] in f for f in read)]
+        remove(spark, [p for p in _scratch if p not in held])
+        with scratch_scope() as made:
+            out = work(spark, docs, sf_dir)
+        _scratch[:] = held + made
+        return out
+
+    return stage
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep."""
     measured = written(quality.with_statistics(docs), "measured")
     return quality.judged(measured).filter("kept").select(*docs.columns)
 
 
+@_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates."""
     return simhash.representatives(docs)
 
 
+@_stage
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document holds; texts that lose nothing stay as they are."""
     cut = substrings.remove_repeats(docs)
     return _with_text(cut, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), docs.columns)
 
 
+@_stage
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for private data."""
     return _with_text(pii.replace(docs, DEMO_KEY), F.col("text"), docs.columns)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
