@@ -31,7 +31,7 @@ from .words import words
 
 WINDOW = 13
 GRAM = 3
-SENDER_BYTES = 8 << 20
+SENDER_BYTES = 5 << 20
 BUCKET_BYTES = 4 << 20
 #: A string that one sender finds in more places keeps them apart from its bucket.
 OFTEN = 16
@@ -55,6 +55,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def _forget_powers() -> None:
+    """Workers live on between tasks; what only buffers need goes when a task ends."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 class _Text:
     """Lines of words that one space parts: where each word stands, and hashes of any run of bytes."""
 
@@ -203,6 +208,7 @@ def send(docs: DataFrame, buckets: int, often: int = OFTEN) -> DataFrame:
                 if sender.bytes >= SENDER_BYTES:
                     yield from rows()
         yield from rows()
+        _forget_powers()
 
     return docs.select("doc_id", "tag", "text").mapInArrow(run, SENT)
 
@@ -327,6 +333,7 @@ def meet(sent: DataFrame) -> DataFrame:
                 held.append(body)
         if held:
             yield from judge(held)
+        _forget_powers()
 
     return dealt.mapInPandas(run, FOUND)
 
