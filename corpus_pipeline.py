@@ -48,8 +48,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates."""
-    return simhash.representatives(docs)
+    """One row of each class of texts whose five-word shingles are similar to 0.8."""
+    return simhash.similar_representatives(docs)
 
 
 @_stage

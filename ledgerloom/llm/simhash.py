@@ -7,11 +7,17 @@ fingerprint is compared with a whole block at once, two carry-save counters
 hold 64 distances, and a block is left as soon as all its distances are past
 the radius. A bucket that is too large is parted again by four bands of the
 bits that its members need not share, as often as needed.
+
+For a similarity of 0.8 that radius is too small. The wide form takes 512 bits
+of distinct five-word shingles, whose distance measures the angle between the
+shingle sets; wide fingerprints meet where they share one of 32 bands of 16
+bits, and the same planes and counters compare all 512 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -32,14 +38,25 @@ SHINGLE = 3
 LARGEST = 1024
 LEVELS = 4
 
+#: The wide form: shingle length, 64-bit words of a fingerprint, bits of a band, and how often buckets may be parted.
+WIDE_SHINGLE, WIDE_WORDS, BAND_BITS, WIDE_LEVELS = 5, 8, 16, 3
+SIMILARITY = 0.8
+#: The increment and the two factors of the splitmix64 generator.
+_STEP, _FACTORS = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
-    """A bit is 1 if it is set in over half of the shingles' XXH64; no words give zero."""
+
+def _hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """The XXH64 of every shingle; of the whole text, if it has fewer words; none without words."""
     run = [w.lower() for w in words(text)]
     if not run:
-        return 0
+        return np.empty(0, "<u8")
     joined = map(b" ".join, zip(*(run[i:] for i in range(shingle)))) if len(run) >= shingle else [b" ".join(run)]
-    h = np.array([xxhash.xxh64_intdigest(s, seed) for s in joined], "<u8")
+    return np.array([xxhash.xxh64_intdigest(s, seed) for s in joined], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
+    """A bit is 1 if it is set in over half of the shingles' XXH64; no words give zero."""
+    h = _hashes(text, shingle, seed)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 65_536):
         part = h[at : at + 65_536]
@@ -47,17 +64,42 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Add fp, the fingerprint of the whole text as a signed long, to each row."""
-    rest = docs.drop("fp")
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, seed: int = 42) -> bytes:
+    """A bit is 1 if it is set in over half of the distinct shingles, whose hashes are widened by splitmix64."""
+    h = np.unique(_hashes(text, shingle, seed))
+    ones = np.zeros(BITS * WIDE_WORDS, np.int64)
+    steps = np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(_STEP)
+    for at in range(0, len(h), 4096):
+        x = h[at : at + 4096, None] + steps
+        for shift, factor in zip((30, 27), _FACTORS):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # as many as a byte can count
+            ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+
+def _with_digest(docs: DataFrame, name: str, kind: str, digest: Callable[[list], pa.Array]) -> DataFrame:
+    rest = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text"):
-                fp = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp.view(np.int64))], [*part.schema.names, "fp"])
+                made = digest(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, name])
+
+    return rest.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rest.dtypes) + f", {name} {kind}")
 
-    return rest.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rest.dtypes) + ", fp long")
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Add fp, the fingerprint of the whole text as a signed long, to each row."""
+
+    def digest(texts: list) -> pa.Array:
+        return pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    return _with_digest(docs, "fp", "long", digest)
 
 
 def band_masks(levels: int = LEVELS, parts: int = RADIUS + 1) -> list[list[int]]:
@@ -105,36 +147,57 @@ def buckets(distinct: DataFrame, largest: int = LARGEST) -> DataFrame:
     raise AssertionError
 
 
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save adder: sum and carry of three bit vectors."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
+
+
 class Planes:
-    """Blocks of 64 fingerprints as 64 words, one per bit position."""
+    """Blocks of 64 fingerprints as vertical words, one per bit position. Lanes have the shape (blocks, 64, words)."""
 
     def __init__(self, lanes: np.ndarray, at_once: int = 1024):
-        self.planes = np.empty((BITS, len(lanes)), np.uint64)
+        wide = lanes.shape[2]
+        self.planes = np.empty((BITS * wide, len(lanes)), np.uint64)
+        at_once = max(1, at_once // wide)
         for at in range(0, len(lanes), at_once):
-            part = lanes[at : at + at_once]
-            bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 64, 8), axis=2, bitorder="little")
+            part = np.ascontiguousarray(lanes[at : at + at_once])
+            bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 64, 8 * wide), axis=2, bitorder="little")
             across = np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little")
             self.planes[:, at : at + at_once] = np.ascontiguousarray(across).view("<u8")[:, :, 0]
 
-    def near(self, query: np.ndarray, block: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each (query, block): the lanes of ``live`` within the radius. Returns the pairs that have some."""
-        item = np.arange(len(query))
-        low, high = np.zeros(len(query), np.uint64), np.zeros(len(query), np.uint64)
-        one, zero = np.uint64(1), np.uint64(0)
-        for p in range(BITS):
-            differs = self.planes[p][block]
-            differs ^= zero - ((query >> np.uint64(p)) & one)
-            carry = low & differs
-            low ^= differs
-            over = high & carry
-            high ^= carry
-            live &= ~over
-            if p % 8 == 7:
-                keep = live != 0
-                if np.count_nonzero(keep) < 0.8 * len(keep):
-                    query, block, live, low, high, item = (x[keep] for x in (query, block, live, low, high, item))
-                    if not len(item):
-                        break
+    def near(
+        self, query: np.ndarray, block: np.ndarray, live: np.ndarray, radius: int = RADIUS
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """For each (query, block): the lanes of ``live`` within the radius. Returns the pairs that have some.
+
+        Counters are slices of weight 1, 2, 4 and so on. They start where the
+        radius' successor makes the highest slice carry over, which ends a lane.
+        """
+        item, one, zero = np.arange(len(query)), np.uint64(1), np.uint64(0)
+        n_slices = max(3, radius.bit_length())
+        start = (1 << n_slices) - 1 - radius
+        count = [np.full(len(query), ~zero if start >> i & 1 else zero) for i in range(n_slices)]
+        for eight in range(0, len(self.planes), 8):
+            word = query[:, eight // BITS]
+            d = [self.planes[p][block] ^ (zero - ((word >> np.uint64(p % BITS)) & one)) for p in range(eight, eight + 8)]
+            twos, fours = [], []
+            for x, y in zip(d[::2], d[1::2]):
+                count[0], carry = _add(count[0], x, y)
+                twos.append(carry)
+            for x, y in zip(twos[::2], twos[1::2]):
+                count[1], carry = _add(count[1], x, y)
+                fours.append(carry)
+            count[2], over = _add(count[2], *fours)
+            for i in range(3, n_slices):
+                over, count[i] = count[i] & over, count[i] ^ over
+            live = live & ~over
+            keep = live != 0
+            if np.count_nonzero(keep) < 0.8 * len(keep):
+                query, block, live, item = (x[keep] for x in (query, block, live, item))
+                count = [x[keep] for x in count]
+                if not len(item):
+                    break
         keep = live != 0
         return item[keep], live[keep]
 
@@ -155,8 +218,11 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def forest(fp: np.ndarray, bucket: np.ndarray, items_at_once: int = 32_768) -> np.ndarray:
-    """Labels (row numbers) of the components within each bucket; rows of a bucket stand together."""
+def forest(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, items_at_once: int = 32_768) -> np.ndarray:
+    """Labels (row numbers) of the components within each bucket; rows of a bucket stand together.
+
+    A row of ``fp`` holds the words of one fingerprint.
+    """
     n = len(fp)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     size = np.diff(np.r_[first, n])
@@ -165,9 +231,9 @@ def forest(fp: np.ndarray, bucket: np.ndarray, items_at_once: int = 32_768) -> n
     n_blocks = -(-size // 64)
     block_of_bucket = np.cumsum(n_blocks) - n_blocks
     own_block = np.repeat(block_of_bucket, size) + lane // 64
-    lanes = np.zeros((int(n_blocks.sum()), 64), np.uint64)
+    lanes = np.zeros((int(n_blocks.sum()), 64, fp.shape[1]), np.uint64)
     lanes[own_block, lane % 64] = fp
-    row_of = np.full(lanes.shape, -1, np.int64)
+    row_of = np.full(lanes.shape[:2], -1, np.int64)
     row_of[own_block, lane % 64] = np.arange(n)
     held = np.zeros(len(lanes), np.int64)
     np.add.at(held, own_block, 1)
@@ -186,7 +252,7 @@ def forest(fp: np.ndarray, bucket: np.ndarray, items_at_once: int = 32_768) -> n
         above = ~np.uint64(0) << (lane[query] % 64).astype(np.uint64)
         above ^= np.uint64(1) << (lane[query] % 64).astype(np.uint64)
         live = np.where(step == 0, full[block] & above, full[block])
-        item, found = planes.near(fp[query], block, live)
+        item, found = planes.near(fp[query], block, live, radius)
         if len(item):
             bit = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             hit, col = np.nonzero(bit)
@@ -195,19 +261,30 @@ def forest(fp: np.ndarray, bucket: np.ndarray, items_at_once: int = 32_768) -> n
     return label
 
 
-def links(bucketed: DataFrame, rows_at_once: int = 50_000) -> DataFrame:
-    """(a, b): for each bucket, a star per component of fingerprints linked inside it; never all pairs."""
-    dealt = bucketed.repartition("level", "path", "key").sortWithinPartitions("level", "path", "key", "fp")
+def links(
+    bucketed: DataFrame, keys: tuple[str, ...] = ("level", "path", "key"), radius: int = RADIUS, rows_at_once: int = 50_000
+) -> DataFrame:
+    """(a, b): for each bucket, a star per component of fingerprints linked inside it; never all pairs.
+
+    A fingerprint is a long that names itself, or binary with a column id beside it.
+    """
+    keys, name = list(keys), "id" if "id" in bucketed.columns else "fp"
+    dealt = bucketed.repartition(*keys).sortWithinPartitions(*keys, name)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy(np.int64)
         change = np.zeros(len(pdf), bool)
-        for c in ("level", "path", "key"):
+        for c in keys:
             v = pdf[c].to_numpy()
             change[1:] |= v[1:] != v[:-1]
-        label = forest(fp.view(np.uint64), np.cumsum(change))
+        bucket = np.cumsum(change)
+        met = np.bincount(bucket)[bucket] > 1
+        bucket, ids, raw = bucket[met], pdf[name].to_numpy(np.int64)[met], pdf["fp"][met]
+        if not len(ids):
+            return pd.DataFrame({"a": ids, "b": ids})
+        fp = ids.view(np.uint64) if name == "fp" else np.frombuffer(b"".join(raw), "<u8")
+        label = forest(fp.reshape(len(ids), -1), bucket, radius)
         tied = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"a": fp[label[tied]], "b": fp[tied]})
+        return pd.DataFrame({"a": ids[label[tied]], "b": ids[tied]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -216,8 +293,8 @@ def links(bucketed: DataFrame, rows_at_once: int = 50_000) -> DataFrame:
             if sum(map(len, held)) < rows_at_once:
                 continue
             every = pd.concat(held, ignore_index=True)
-            last = every[["level", "path", "key"]].iloc[-1]
-            same = (every[["level", "path", "key"]] == last).all(axis=1).to_numpy()
+            last = every[keys].iloc[-1]
+            same = (every[keys] == last).all(axis=1).to_numpy()
             begun = int(np.argmax(same))  # the last bucket may go on in the next frame
             if begun:
                 yield solve(every.iloc[:begun].reset_index(drop=True))
@@ -263,6 +340,62 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, largest: int = LARG
     return marked.join(chosen, "_row", "left_semi").select(*docs.columns)
 
 
+def radius_of(similarity: float, bits: int = BITS * WIDE_WORDS) -> int:
+    """The bits by which fingerprints of two equally large shingle sets of this Jaccard similarity differ on average."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def wide_links(distinct: DataFrame, radius: int, largest: int = LARGEST) -> DataFrame:
+    """(a, b): links between the ids of a table (id, fp) of wide fingerprints that share a band.
+
+    A bucket above ``largest`` is parted again by its members' other bands, at
+    the last of WIDE_LEVELS it is compared whole. All rows take part again; a
+    pair whose only common band is such a bucket's does not meet there.
+    """
+    bands, found = BITS * WIDE_WORDS // BAND_BITS, None
+    members = distinct.select("id", "fp", F.lit(0).cast("long").alias("key"), F.lit(-1).alias("band"))
+    value = "cast(conv(hex(substring(fp, band * 2 + 1, 2)), 16, 10) as long)"
+    for level in range(WIDE_LEVELS):
+        dealt = members.withColumnRenamed("band", "_last").withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
+        dealt = dealt.filter("band > _last" if level else "true").drop("_last")
+        dealt = dealt.withColumn("key", F.expr(f"key * {bands << BAND_BITS} + band * {1 << BAND_BITS} + {value}"))
+        hot = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > largest).select("key")
+        hot = written(hot, "hot")
+        ends = level + 1 == WIDE_LEVELS or hot.isEmpty()
+        small = dealt if ends else dealt.join(hot, "key", "left_anti")
+        some = links(small.select("key", "id", "fp"), ("key",), radius, 16_000)
+        found = some if found is None else found.unionByName(some)
+        if ends:
+            return found
+        members = dealt.join(hot, "key", "left_semi").select("id", "fp", "key", "band")
+    raise AssertionError
+
+
+def similar_representatives(docs: DataFrame, similarity: float = SIMILARITY, largest: int = LARGEST) -> DataFrame:
+    """One row of each class of texts whose five-word shingles are similar: that with the smallest doc_id.
+
+    Texts link if their wide fingerprints share a band and differ in no more
+    bits than :func:`radius_of` the similarity. Equal fingerprints are one
+    node; empty and NULL texts share one. Of repeated rows one stays, and one
+    with a NULL id only if its class has no other. An empty table gives no
+    rows; other columns are carried along.
+    """
+
+    def digest(texts: list) -> pa.Array:
+        return pa.array([wide_fingerprint(t) for t in texts], pa.binary())
+
+    marked = _with_digest(docs, "_wide_fp", "binary", digest).withColumn("_wide_row", F.monotonically_increasing_id())
+    marked = written(marked, "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("_wide_row").alias("row")))
+    distinct = marked.groupBy(F.col("_wide_fp").alias("fp")).agg(first.alias("least"))
+    distinct = written(distinct.withColumn("id", F.col("least.row")), "distinct")
+    found = wide_links(distinct.select("id", "fp"), radius_of(similarity), largest)
+    roots = connected_components(found).withColumnRenamed("node", "id")
+    rooted = distinct.drop("fp").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    chosen = rooted.groupBy("root").agg(F.min("least")["row"].alias("_wide_row")).select("_wide_row")
+    return marked.join(chosen, "_wide_row", "left_semi").select(*docs.columns)
+
+
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

@@ -7,7 +7,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
-from brute import classes, removed, simhash, statistics
+from brute import classes, removed, simhash, statistics, wide_classes, wide_simhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -214,6 +214,40 @@ def test_near_duplicates(docs, rows):
     assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == set(least.values())
 
 
+def test_similar_texts(docs, rows):
+    prints = [wide_simhash(t) for _, t in rows]
+    assert [sim.wide_fingerprint(t) for _, t in rows] == [b"".join(x.to_bytes(2, "little") for x in p) for p in prints]
+    root = wide_classes(prints, sim.radius_of(0.8))
+    least = {}
+    for (i, _), p in zip(rows, prints):
+        if i is not None:
+            least[root[p]] = min(i, least.get(root[p], i))
+    kept = sim.similar_representatives(docs)
+    assert kept.columns == docs.columns
+    kept = [r["doc_id"] for r in kept.collect()]
+    assert sorted(kept) == sorted(least.values()) and len(kept) == len(set(root.values()))
+    assert [i for i in kept if 200 <= i < 300] == [200] and set(range(60)) <= set(kept)
+    parted = [r["doc_id"] for r in sim.similar_representatives(docs, largest=2).collect()]
+    assert sorted(parted) == sorted(kept)
+    assert sim.similar_representatives(docs.limit(0)).count() == 0
+
+
+def test_similar_texts_are_found():
+    rnd, found = np.random.default_rng(3), []
+    for _ in range(200):
+        words = rnd.integers(0, 5000, 400).astype(str)
+        other = words.copy()
+        other[rnd.choice(400, 4, replace=False)] = "changed"
+        pair = [wide_bands(sim.wide_fingerprint(" ".join(x))) for x in (words, other)]
+        bits = int(np.bitwise_count(pair[0] ^ pair[1]).sum())
+        found.append(bits <= sim.radius_of(0.8) and bool((pair[0] == pair[1]).any()))
+    assert np.mean(found) > 0.97
+
+
+def wide_bands(fp):
+    return np.frombuffer(fp, "<u2")
+
+
 @pytest.mark.parametrize("largest", [1024, 3])
 def test_large_buckets_are_parted_without_loss(spark, largest):
     rng = np.random.default_rng(0)

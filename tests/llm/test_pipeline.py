@@ -1,11 +1,11 @@
 import hashlib
 
-from brute import classes, removed, simhash, word_list
+from brute import removed, wide_classes, wide_simhash, word_list
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerloom.llm import pii, quality
+from ledgerloom.llm import pii, quality, simhash
 from ledgerloom.storage import written
 from test_operators import by_key, check_packing
 
@@ -23,9 +23,9 @@ def test_each_stage_against_brute_force(spark, docs):
     assert by_key(kept.select("doc_id").collect()) == by_key(verdict.select("doc_id").collect())
 
     texts = kept.collect()
-    root = classes([simhash(r["text"]) for r in texts])
+    root = wide_classes([wide_simhash(r["text"]) for r in texts], simhash.radius_of(0.8))
     assert single.count() == len(set(root.values()))
-    assert {root[simhash(r["text"])] for r in single.collect()} == set(root.values())
+    assert {root[wide_simhash(r["text"])] for r in single.collect()} == set(root.values())
 
     before = [(r["doc_id"], r["text"]) for r in single.collect()]
     plain = lambda t: hashlib.sha256(" ".join(word_list(t)).encode()).hexdigest()
