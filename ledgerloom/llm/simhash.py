@@ -8,23 +8,24 @@ hold 64 distances, and a block is left as soon as all its distances are past
 the radius. A bucket that is too large is parted again by four bands of the
 bits that its members need not share, as often as needed.
 
-For a similarity of 0.8 that radius is too small. The wide form takes 512 bits
-of distinct five-word shingles, whose distance measures the angle between the
-shingle sets; wide fingerprints meet where they share one of 32 bands of 16
-bits, and the same planes and counters compare all 512 bits.
+For a similarity of 0.8 that radius is too small, and the distance of wide
+fingerprints only estimates it. There the distinct five-word shingles
+themselves are compared: sets that similar share one of their first few
+hashes, those that do share one meet, and each pair is verified whole.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -38,8 +39,8 @@ SHINGLE = 3
 LARGEST = 1024
 LEVELS = 4
 
-#: The wide form: shingle length, 64-bit words of a fingerprint, bits of a band, and how often buckets may be parted.
-WIDE_SHINGLE, WIDE_WORDS, BAND_BITS, WIDE_LEVELS = 5, 8, 16, 3
+#: Five-word shingles, and the 64-bit words of a wide fingerprint of them.
+WIDE_SHINGLE, WIDE_WORDS = 5, 8
 SIMILARITY = 0.8
 #: The increment and the two factors of the splitmix64 generator.
 _STEP, _FACTORS = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -345,55 +346,107 @@ def radius_of(similarity: float, bits: int = BITS * WIDE_WORDS) -> int:
     return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def wide_links(distinct: DataFrame, radius: int, largest: int = LARGEST) -> DataFrame:
-    """(a, b): links between the ids of a table (id, fp) of wide fingerprints that share a band.
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingles as ascending signed hashes."""
+    return np.unique(_hashes(text, WIDE_SHINGLE, 42).view(np.int64))
 
-    A bucket above ``largest`` is parted again by its members' other bands, at
-    the last of WIDE_LEVELS it is compared whole. All rows take part again; a
-    pair whose only common band is such a bucket's does not meet there.
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles) of a table (id, text)."""
+
+    def digest(texts: list) -> pa.Array:
+        return pa.array([shingle_set(t) for t in texts], pa.list_(pa.int64()))
+
+    return _with_digest(texts, "shingles", "array<bigint>", digest).drop("text")
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries (key, id, n) whose key more than one has; k tells how many."""
+    counted = entries.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    return written(counted.filter("k > 1"), "shared")
+
+
+def _meetings(shared: DataFrame, largest: int) -> DataFrame:
+    """(a, b), each (id, n), once for every key that two ids share.
+
+    A key's ids are dealt to blocks of about ``largest``, and each two blocks
+    meet in a group of their own; a block meets itself, too.
     """
-    bands, found = BITS * WIDE_WORDS // BAND_BITS, None
-    members = distinct.select("id", "fp", F.lit(0).cast("long").alias("key"), F.lit(-1).alias("band"))
-    value = "cast(conv(hex(substring(fp, band * 2 + 1, 2)), 16, 10) as long)"
-    for level in range(WIDE_LEVELS):
-        dealt = members.withColumnRenamed("band", "_last").withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
-        dealt = dealt.filter("band > _last" if level else "true").drop("_last")
-        dealt = dealt.withColumn("key", F.expr(f"key * {bands << BAND_BITS} + band * {1 << BAND_BITS} + {value}"))
-        hot = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > largest).select("key")
-        hot = written(hot, "hot")
-        ends = level + 1 == WIDE_LEVELS or hot.isEmpty()
-        small = dealt if ends else dealt.join(hot, "key", "left_anti")
-        some = links(small.select("key", "id", "fp"), ("key",), radius, 16_000)
-        found = some if found is None else found.unionByName(some)
-        if ends:
-            return found
-        members = dealt.join(hot, "key", "left_semi").select("id", "fp", "key", "band")
-    raise AssertionError
+    blocks = F.ceil(F.col("k") / largest)
+    dealt = shared.select("key", F.struct("id", "n").alias("x"), blocks.alias("blocks"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("x.id"), "blocks"))
+    one = dealt.select("key", F.col("x").alias("a"), F.col("own").alias("p"), F.expr("explode(sequence(own, blocks - 1))").alias("q"))
+    two = dealt.select("key", F.col("x").alias("b"), F.expr("explode(sequence(0L, own))").alias("p"), F.col("own").alias("q"))
+    met = one.join(two, ["key", "p", "q"]).filter("p < q or a.id < b.id")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def similar_links(texts: DataFrame, prefixes: DataFrame, similarity: float, largest: int = LARGEST) -> DataFrame:
+    """(a, b): every two ids whose shingle sets have at least this Jaccard similarity.
+
+    ``texts`` is (id, text), ``prefixes`` (id, n, prefix) with the size of the
+    set and its first shingles, as :func:`prefix_length` has it. Sets that
+    similar share one of them. Where the prefix that ends first ends, all
+    common ones so far are in both, so their number and the rest of its set
+    bound what the sets have in common; pairs that pass are compared whole.
+    """
+    t = Fraction(str(similarity))
+    own, both = t.numerator, t.numerator + t.denominator
+    entries = prefixes.select("id", "n", F.explode("prefix").alias("key"))
+    met = _meetings(_shared(entries), largest).filter(
+        f"{t.denominator} * least(a.n, b.n) >= {own} * greatest(a.n, b.n)"
+    )
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
+    least = f"(({own} * greatest(a.n, b.n) + {t.denominator - 1}) div {t.denominator})"
+    passed = counted.filter(f"{both} * (m + {least} - 1) >= {own} * (a.n + b.n)")
+    pairs = written(passed.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = written(_sets(texts.join(ids, "id", "left_semi")), "sets")
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"of_{side}")), side)
+    common = "cast(size(array_intersect(of_a, of_b)) as long)"
+    return pairs.filter(f"{both} * {common} >= {own} * (size(of_a) + size(of_b))").select("a", "b")
+
+
+def prefix_length(n: int, similarity: Fraction) -> int:
+    """Two sets that similar share one of so many first elements of theirs, in any order common to all sets."""
+    return n + math.floor(-similarity * n) + 1 if n else 0
 
 
 def similar_representatives(docs: DataFrame, similarity: float = SIMILARITY, largest: int = LARGEST) -> DataFrame:
     """One row of each class of texts whose five-word shingles are similar: that with the smallest doc_id.
 
-    Texts link if their wide fingerprints share a band and differ in no more
-    bits than :func:`radius_of` the similarity. Equal fingerprints are one
-    node; empty and NULL texts share one. Of repeated rows one stays, and one
-    with a NULL id only if its class has no other. An empty table gives no
-    rows; other columns are carried along.
+    Texts link if the Jaccard similarity of their distinct shingles is at
+    least this; no such pair is missed. Equal sets are one node; empty and
+    NULL texts share one. Of repeated rows one stays, and one with a NULL id
+    only if its class has no other. An empty table gives no rows; other
+    columns are carried along.
     """
+    exact = Fraction(str(similarity))
 
     def digest(texts: list) -> pa.Array:
-        return pa.array([wide_fingerprint(t) for t in texts], pa.binary())
-
-    marked = _with_digest(docs, "_wide_fp", "binary", digest).withColumn("_wide_row", F.monotonically_increasing_id())
-    marked = written(marked, "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("_wide_row").alias("row")))
-    distinct = marked.groupBy(F.col("_wide_fp").alias("fp")).agg(first.alias("least"))
-    distinct = written(distinct.withColumn("id", F.col("least.row")), "distinct")
-    found = wide_links(distinct.select("id", "fp"), radius_of(similarity), largest)
-    roots = connected_components(found).withColumnRenamed("node", "id")
-    rooted = distinct.drop("fp").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    chosen = rooted.groupBy("root").agg(F.min("least")["row"].alias("_wide_row")).select("_wide_row")
-    return marked.join(chosen, "_wide_row", "left_semi").select(*docs.columns)
+        sets = [shingle_set(t) for t in texts]
+        return pa.StructArray.from_arrays(
+            [
+                pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()),
+                pa.array([len(h) for h in sets], pa.int64()),
+                pa.array([h[: prefix_length(len(h), exact)] for h in sets], pa.list_(pa.int64())),
+            ],
+            ["name", "n", "prefix"],
+        )
+
+    kind = "struct<name: binary, n: bigint, prefix: array<bigint>>"
+    marked = _with_digest(docs, "_set", kind, digest).withColumn("_set_row", F.monotonically_increasing_id())
+    marked = written(marked, "shingles")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("_set_row").alias("row")))
+    distinct = marked.groupBy("_set.name").agg(first.alias("least"))
+    distinct = written(distinct.select("least", F.col("least.row").alias("id")), "distinct")
+    prefixes = marked.select(F.col("_set_row").alias("id"), "_set.n", "_set.prefix").join(distinct, "id", "left_semi")
+    texts = marked.select(F.col("_set_row").alias("id"), "text")
+    roots = connected_components(similar_links(texts, prefixes, similarity, largest)).withColumnRenamed("node", "id")
+    rooted = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    chosen = rooted.groupBy("root").agg(F.min("least")["row"].alias("_set_row")).select("_set_row")
+    return marked.join(chosen, "_set_row", "left_semi").select(*docs.columns)
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:

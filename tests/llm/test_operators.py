@@ -1,13 +1,14 @@
 import base64
 import hashlib
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
-from brute import classes, removed, simhash, statistics, wide_classes, wide_simhash
+from brute import classes, least_reachable, removed, simhash, statistics, wide_classes, wide_simhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -232,6 +233,30 @@ def test_similar_texts(docs, rows):
     assert sim.similar_representatives(docs.limit(0)).count() == 0
 
 
+def jaccard_least(rows, similarity=Fraction(4, 5)):
+    """The smallest id of each class under brute-force Jaccard of five-word shingles."""
+    sets = {i: frozenset(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    return sorted(set(least_reachable(sorted(sets), links).values()))
+
+
+@pytest.mark.parametrize("largest", [1024, 2])
+def test_similar_texts_are_those_of_the_exact_similarity(spark, largest):
+    rng, rows = np.random.default_rng(4), []
+    for i in range(150):
+        words = rng.integers(0, 5000, 200).astype(str)
+        other = words.copy()
+        other[rng.choice(200, rng.integers(1, 8), replace=False)] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other[: rng.integers(180, 201)]))]
+    # 0.8 to the shingle: 100 of 125, and just below it: 100 of 126
+    x, y = ([f"{c}{k}" for k in range(130)] for c in "xy")
+    rows += [(300, " ".join(x[:104])), (301, " ".join(x[:129])), (302, " ".join(y[:104])), (303, " ".join(y))]
+    want = jaccard_least(rows)
+    assert 150 < len(want) < 300 and set(range(300, 304)) & set(want) == {300, 302, 303}
+    kept = sim.similar_representatives(spark.createDataFrame(rows, "doc_id long, text string"), largest=largest)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
 def test_similar_texts_are_found():
     rnd, found = np.random.default_rng(3), []
     for _ in range(200):
