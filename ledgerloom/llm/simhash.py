@@ -41,6 +41,8 @@ LEVELS = 4
 
 #: Five-word shingles, and the 64-bit words of a wide fingerprint of them.
 WIDE_SHINGLE, WIDE_WORDS = 5, 8
+#: How often frequent shingles may be moved to the end of the order.
+COOLED = 3
 SIMILARITY = 0.8
 #: The increment and the two factors of the splitmix64 generator.
 _STEP, _FACTORS = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -381,6 +383,41 @@ def _meetings(shared: DataFrame, largest: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _cooled(entries: DataFrame, shared: DataFrame, texts: DataFrame, similarity: Fraction, largest: int) -> DataFrame:
+    """The same shared entries with keys of more than ``largest`` ids at the end of the order of all sets.
+
+    Any one order of all sets will do, so nothing is lost; a prefix without
+    such a key stays as it is, and the others are drawn again from whole sets,
+    in which all their frequent keys are counted. That may bring up further
+    ones, for at most COOLED rounds; blocks hold what stays.
+    """
+    many, t = F.col("k") > largest, similarity
+    hot = shared.filter(many).select("key").distinct()
+    length = F.expr(f"n - ({t.numerator} * n + {t.denominator - 1}) div {t.denominator} + 1")
+    order = Window.partitionBy("id").orderBy(F.coalesce("late", F.lit(False)), "key")
+
+    def touched() -> tuple[DataFrame, DataFrame]:
+        ids = written(entries.join(hot, "key", "left_semi").select("id").distinct(), "ids")
+        sets = _sets(texts.join(ids, "id", "left_semi"))
+        return ids, sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
+
+    for _ in range(COOLED):
+        hot = written(hot, "hot")
+        if hot.isEmpty():
+            break
+        counted = touched()[1].groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(many)
+        hot = written(hot.unionByName(counted.select("key")).distinct(), "hot")
+        ids, whole = touched()
+        whole = whole.join(hot.withColumn("late", F.lit(True)), "key", "left")
+        drawn = whole.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= length)
+        shared = _shared(entries.join(ids, "id", "left_anti").unionByName(drawn.select("id", "n", "key")))
+        more = written(shared.filter(many).select("key").distinct().join(hot, "key", "left_anti"), "hot")
+        if more.isEmpty():
+            break
+        hot = hot.unionByName(more)
+    return shared
+
+
 def similar_links(texts: DataFrame, prefixes: DataFrame, similarity: float, largest: int = LARGEST) -> DataFrame:
     """(a, b): every two ids whose shingle sets have at least this Jaccard similarity.
 
@@ -393,9 +430,8 @@ def similar_links(texts: DataFrame, prefixes: DataFrame, similarity: float, larg
     t = Fraction(str(similarity))
     own, both = t.numerator, t.numerator + t.denominator
     entries = prefixes.select("id", "n", F.explode("prefix").alias("key"))
-    met = _meetings(_shared(entries), largest).filter(
-        f"{t.denominator} * least(a.n, b.n) >= {own} * greatest(a.n, b.n)"
-    )
+    shared = _cooled(entries, _shared(entries), texts, t, largest)
+    met = _meetings(shared, largest).filter(f"{t.denominator} * least(a.n, b.n) >= {own} * greatest(a.n, b.n)")
     counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
     least = f"(({own} * greatest(a.n, b.n) + {t.denominator - 1}) div {t.denominator})"
     passed = counted.filter(f"{both} * (m + {least} - 1) >= {own} * (a.n + b.n)")

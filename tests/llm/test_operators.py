@@ -257,6 +257,26 @@ def test_similar_texts_are_those_of_the_exact_similarity(spark, largest):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_similar_texts_meet_in_hot_buckets(spark):
+    """A long template in every text; with blocks of two all its shingles are hot."""
+    rng, rows = np.random.default_rng(6), []
+    template = [f"t{k}" for k in range(120)]
+    for i in range(30):
+        own = [f"o{i}_{k}" for k in range(rng.integers(8, 40))]
+        other = own[: -rng.integers(1, 6)] + ["changed"]
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + other))]
+    for rows in (rows, [(i, t.replace("t0 ", f"a{i // 2} ").replace(" t60 ", f" b{i // 2} ")) for i, t in rows]):
+        table = spark.createDataFrame(rows, "id long, text string")
+        sets = {i: sim.shingle_set(t) for i, t in rows}
+        lists = [(i, len(h), h[: sim.prefix_length(len(h), Fraction(4, 5))].tolist()) for i, h in sets.items()]
+        prefixes = spark.createDataFrame(lists, "id long, n long, prefix array<bigint>")
+        common = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+        want = {(a, b) for a in sets for b in sets if a < b and 9 * common(a, b) >= 4 * (len(sets[a]) + len(sets[b]))}
+        assert len(want) >= 30
+        for largest in (1024, 2):
+            assert sorted(map(tuple, sim.similar_links(table, prefixes, 0.8, largest).collect())) == sorted(want)
+
+
 def test_similar_texts_are_found():
     rnd, found = np.random.default_rng(3), []
     for _ in range(200):
