@@ -41,16 +41,26 @@ GIVEN = {
 SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
 ADDRESSED = {a: g for g, names in ADDRESS.items() for a in names}
 _TITLES = "|".join(re.escape(a) for a in sorted(ADDRESSED, key=len, reverse=True))
+SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 _NAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-яё]+"
+#: National phone numbers: ddd-ddd-dddd with dashes, dots or spaces, and 9 to 12 grouped digits from 0.
+_ENDS = r"(?![\w/]|[.-]?[0-9])"
+_TEN = [rf"(?:1{s})?{a}{s}[0-9]{{3}}{s}[0-9]{{4}}" for s, a in (("-", "[0-9]{3}"), (r"\.", "[0-9]{3}"), (" ", "[2-9][0-9]{2}"))]
+_ZERO = [
+    rf"(?=0(?:{s}?[0-9]){{8,11}}(?!{s}?[0-9]))(?!{SSN})0[1-9][0-9]{{0,4}}(?:{s}[0-9]{{2,8}}){{1,4}}" for s in ("-", r"\.", " ")
+]
+_AREA = [r"\(0[1-9][0-9]{0,4}\) ?[0-9]{3,5}[ -]?[0-9]{3,5}", r"0[1-9][0-9]{1,4} ?/ ?[0-9]{3,5}[ -]?[0-9]{2,5}"]
+_NATIONAL = rf"(?<![\w.+/-])(?:{'|'.join(_TEN + _ZERO + _AREA)}){_ENDS}|(?<!\w)\([0-9]{{3}}\) ?[0-9]{{3}}[. -][0-9]{{4}}{_ENDS}"
 #: Kind and pattern, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9À-ÿ][\w.+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b\s*[:=]\s*[\"']?)[A-Za-z0-9+/_-]{8,}",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}\b|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b",
-    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}\b|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b|" + _NATIONAL,
+    "ssn": SSN,
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?!\.?[0-9])",
-    "card": r"(?<![0-9-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9-])",
+    "card": r"(?<![0-9-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9-])"
+    r"|(?<![0-9-])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9-])",
     "name": rf"(?<!\w)(?:{_TITLES}) (?:{_NAME} )?{_NAME}",
 }
 FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
@@ -143,10 +153,13 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         return move(local, "local") + "@" + ".".join([*(move(x, "domain") for x in labels[:-fixed]), *labels[-fixed:]])
     if kind == "phone":
         plus, digits = entity[: entity.startswith("+")], entity[entity.startswith("+") :]
-        keep = 1 if plus and digits.startswith("1") else 0 if not plus else 2
+        keep = 1 if digits.startswith("1") and (plus or len(digits) == 11) else 0 if not plus else 2
         classes = [None] * keep + [DIGITS] * (len(digits) - keep)
+        if not plus and digits.startswith("0"):  # as does the 0 before an area, which is not 0 again
+            classes[:2] = [None, DIGITS[1:] if digits[1] != "0" else None]
         if len(digits) - keep == 10:  # area codes start from 2; the exchange for fiction stays
-            classes[keep] = DIGITS[2:] if digits[keep] in DIGITS[2:] else None
+            if digits[keep] != "0" or plus:
+                classes[keep] = DIGITS[2:] if digits[keep] in DIGITS[2:] else None
             if digits[keep + 3 : keep + 6] == "555":
                 classes[keep + 3 : keep + 6] = [None] * 3
         return plus + _same_format(digits, key, tweak, classes)

@@ -331,6 +331,24 @@ def test_pii(docs, rows):
     assert joined == {i: r["text"] for i, r in got.items()}
 
 
+PHONES = """415-555-0132|415.555.0132|415 555 0132|1-415-555-0132|(415) 555 0132|(415) 555-0132|0171 2345678|020 7946 0958
+01 23 45 67 89|01.23.45.67.89|030/1234567|(0171) 2345678|0171-2345678|+49 171 2345678"""
+
+
+@pytest.mark.parametrize("kind, found", [("phone", x) for x in PHONES.replace("\n", "|").split("|")] + [("card", "3782 822463 10005"), ("card", "3782-822463-10005")])
+def test_national_phones_and_grouped_cards(kind, found):
+    for text in (found, f"call {found}.", f"({found}), then"):
+        got = [(m.lastgroup, m[0]) for m in pii.mentions(text)]
+        assert got == [(kind, found)]
+    made = pii.shown(kind, found, pii.surrogate(kind, pii.normal(kind, found), b"k"))
+    assert made != found and [(m.lastgroup, m[0]) for m in pii.mentions(made)] == [(kind, made)]
+
+
+@pytest.mark.parametrize("text", ["v415.555.01325", "415-555-01329", "2415-555-0132", "2023-01-02", "05-12-2023 14:30", "01.02.2023", "978-0-306-40615-7", "10 000 000 1234", "0.123 4567", "1 000 000"])
+def test_other_numbers_are_no_phones(text):
+    assert not list(pii.mentions(text))
+
+
 def test_surrogates_stay_apart(spark):
     for kind, many in (("ssn", [f"{i:09}" for i in range(3000)]), ("ip", [f"1.2.{i // 256}.{i % 256}" for i in range(3000)]), ("name", [f"f|N{i}" for i in range(3000)])):
         new = {pii.surrogate(kind, e, b"k") for e in many}
