@@ -349,6 +349,15 @@ def test_other_numbers_are_no_phones(text):
     assert not list(pii.mentions(text))
 
 
+def test_plain_runs_of_13_digits_are_cards_by_issuer_and_luhn():
+    for text in ("at 1700000000000 ms", "ISBN 9780306406157", "4222222222223"):
+        assert not list(pii.mentions(text)) and pii._rewrite(text, b"k", {}) == (text, 0)
+    for text in ("4222222222222", "4222 2222 2222 2", "41111111111111", "4111111111111111"):
+        assert [m[0] for m in pii.mentions(text)] == [text]
+        new, n = pii._rewrite(text, b"k", {})
+        assert n == 1 and new != text and [m[0] for m in pii.mentions(new)] == [new]
+
+
 def test_surrogates_stay_apart(spark):
     for kind, many in (("ssn", [f"{i:09}" for i in range(3000)]), ("ip", [f"1.2.{i // 256}.{i % 256}" for i in range(3000)]), ("name", [f"f|N{i}" for i in range(3000)])):
         new = {pii.surrogate(kind, e, b"k") for e in many}
