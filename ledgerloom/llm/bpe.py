@@ -10,19 +10,26 @@ has it; all others go through the merges.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .words import Packed, sliced
 
 
+#: Pre-tokens that are looked up together, and the bytes of text that a worker takes from a batch at once.
+TOKENS_AT_ONCE = 65_536
+SLICE_BYTES = 1 << 20
+
+
 def byte_characters() -> list[str]:
     """The character of each byte: itself where it is printable, else the next one from 256 on."""
     keep = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -90,37 +97,33 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
-        self.find = regex.compile(pattern).findall
+        self.find = regex.compile(pattern).finditer
         pack = struct.Struct("<I").pack
         self.whole = {token.decode(): pack(rank) for token, rank in ranks.items() if _text(token)}
         self.table = [unmapped(self.model.id_to_piece(i)) for i in range(len(ranks))]
         self.known = Packed()
 
-    def _learn(self, missing: list[str]) -> None:
-        self.known.room(len(missing))
-        ids = self.model.encode([mapped(t.encode()) for t in missing], num_threads=1)
-        for token, found in zip(missing, ids):
-            self.known[token] = struct.pack(f"<{len(found)}I", *found)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each whole text as little-endian 32-bit integers; None counts as empty."""
-        whole, known = self.whole, self.known
-        parts = [self.find(t) if t else [] for t in texts]
-        missing = {t for p in parts for t in p if t not in whole and t not in known}
-        if missing:
-            before = len(known)
-            self._learn(list(missing))
-            if len(known) < before + len(missing):  # it was emptied, so earlier entries are gone
-                again = {t for p in parts for t in p if t not in whole and t not in known}
-                local = dict(known)
-                ids = self.model.encode([mapped(t.encode()) for t in again], num_threads=1)
-                local.update((t, struct.pack(f"<{len(i)}I", *i)) for t, i in zip(again, ids))
-                known = local
-        return [b"".join([whole[t] if t in whole else known[t] for t in p]) for p in parts]
+    def _merged(self, tokens: list[str]) -> list[bytes]:
+        ids = self.model.encode([mapped(t.encode()) for t in tokens], num_threads=1)
+        return [array("I", found).tobytes() for found in ids]
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of the whole text as little-endian 32-bit integers; None counts as empty."""
+        out, whole, known = bytearray(), self.whole, self.known
+        found = (m[0] for m in self.find(text or ""))
+        while some := list(islice(found, TOKENS_AT_ONCE)):
+            missing = list({t for t in some if t not in whole and t not in known})
+            here = dict(zip(missing, self._merged(missing))) if missing else {}
+            out += b"".join([whole[t] if t in whole else here[t] if t in here else known[t] for t in some])
+            known.room()
+            known.learn(here)
+        return bytes(out)
 
     def decode(self, ids: bytes) -> bytes:
-        table = self.table
-        return b"".join([table[i] for (i,) in struct.iter_unpack("<I", ids)])
+        table, out = self.table, bytearray()
+        for at in range(0, len(ids), 4 * TOKENS_AT_ONCE):
+            out += b"".join([table[i] for i in memoryview(ids)[at : at + 4 * TOKENS_AT_ONCE].cast("I")])
+        return bytes(out)
 
 
 def _text(token: bytes) -> bool:
@@ -136,6 +139,26 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
+@cache
+def pieces(path: str) -> list[bytes]:
+    """The bytes of each id, by the inverse mapping of its piece; no model is needed for it."""
+    ranks = read_ranks(path)
+    return [unmapped(mapped(token)) for token in sorted(ranks, key=ranks.__getitem__)]
+
+
+def _with_columns(df: DataFrame, read: str, made: dict[str, tuple[str, pa.DataType]], work) -> DataFrame:
+    """Add columns that ``work`` makes of single values of ``read``; others of their names are replaced."""
+    rest = df.drop(*made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, read, SLICE_BYTES):
+                rows = [work(x.as_py()) for x in part.column(read)]
+                columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(made.values())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *made])
+
+    ddl = [f"`{c}` {t}" for c, t in rest.dtypes] + [f"`{c}` {t}" for c, (t, _) in made.items()]
+    return rest.mapInArrow(run, ", ".join(ddl))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -143,44 +166,40 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
     NULL and empty texts give no ids. Rows stay as they are, repeated ones too;
     an extra column called like ``out`` is replaced. No row depends on another,
-    so there is no shuffle, and a lost task is simply run again.
+    so there is no shuffle, and a lost task is simply run again. A long text
+    goes through in runs of TOKENS_AT_ONCE pre-tokens; an empty table gives no
+    rows.
     """
-    rest = docs.drop(out)
+    return _with_columns(docs, text, {out: ("binary", pa.binary())}, lambda t: (codec(path, pattern).encode(t),))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in batches:
-            for part in sliced(batch, text):
-                ids = pa.array(c.encode(part.column(text).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, out])
 
-    return rest.mapInArrow(run, f"{_ddl(rest)}, `{out}` binary")
+def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Add ``out``: the bytes that the packed ids stand for. NULL ids give NULL.
 
+    Repeated rows come out alike, no ids give no bytes, an empty table gives no
+    rows, a column called like ``out`` is replaced.
+    """
 
-def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add ``out``: the bytes that the packed ids stand for. NULL ids give NULL."""
-    rest = rows.drop(out)
+    def work(packed: bytes | None) -> tuple[bytes | None]:
+        table = pieces(path)
+        return (None if packed is None else b"".join([table[i] for i in memoryview(packed).cast("I")]),)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in batches:
-            for part in sliced(batch, ids):
-                back = [None if i is None else c.decode(i) for i in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.binary())], [*part.schema.names, out])
+    return _with_columns(rows, ids, {out: ("binary", pa.binary())}, work)
 
-    return rest.mapInArrow(run, f"{_ddl(rest)}, `{out}` binary")
 
+def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of what they decode to.
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    Encoding, decoding and both digests happen in one worker, row by row, so
+    neither ids nor decoded bytes are kept beside the text. NULL texts count
+    as empty, repeated rows come out as often as they came in, an empty table
+    gives no rows; other columns take no part.
+    """
 
+    def work(text: str | None) -> tuple[int, str, str]:
+        c = codec(path, pattern)
+        ids = c.encode(text)
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
 
-def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of what they decode to."""
-    both = decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
-    return both.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    made = {"n_tokens": ("bigint", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    return _with_columns(docs.select("doc_id", "text"), "text", made, work).drop("text")

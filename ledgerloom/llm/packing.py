@@ -62,19 +62,20 @@ class Ids:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Packed(500_000)
+        self.known = Packed(48_000_000)
 
     def _learn(self, runs: list[bytes]) -> None:
-        other, tokenize = [], self.tokenizer.model.tokenize
+        other, tokenize, found = [], self.tokenizer.model.tokenize, {}
         for r in runs:
             if _lower_letters(r):
-                self.known[r] = array("I", [t.id for t in tokenize(mapped(r))]).tobytes()
+                found[r] = array("I", [t.id for t in tokenize(mapped(r))]).tobytes()
             else:
                 other.append(r)
+        self.known.learn(found)
         for at in range(0, len(other), 10_000):
             some = other[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast([r.decode() for r in some], add_special_tokens=False)
-            self.known.update((r, array("I", e.ids).tobytes()) for r, e in zip(some, found))
+            made = self.tokenizer.encode_batch_fast([r.decode() for r in some], add_special_tokens=False)
+            self.known.learn({r: array("I", e.ids).tobytes() for r, e in zip(some, made)})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = []
@@ -82,8 +83,7 @@ class Ids:
             data = t.encode() if t else b""
             parts.append((data if b"<|" in data else data.lower()).split())
         known, seen = self.known, set().union(*parts)
-        if len(known) + 2 * len(seen) > known.limit:
-            known.clear()
+        known.room()
         new, halves, need = [r for r in seen if r not in known], [], []
         for r in new:
             core = r.rstrip(MARKS)
@@ -93,7 +93,7 @@ class Ids:
             else:
                 need.append(r)
         self._learn([r for r in set(need) if r not in known])
-        known.update((r, known[core] + known[tail]) for r, core, tail in halves)
+        known.learn({r: known[core] + known[tail] for r, core, tail in halves})
         get = known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
@@ -133,7 +133,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = ids_of(path)
         for batch in batches:
-            for part in sliced(batch, "text", 2_000_000):
+            for part in sliced(batch, "text", 1 << 20):
                 ids = [x + end for x in t.encode(part.column("text").to_pylist())]
                 yield _cut(part.column("doc_id"), ids, limit)
 

@@ -15,15 +15,20 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Packed(dict):
-    """A map from word to packed ids that is emptied when it holds ``limit`` entries, so memory stays bounded."""
+    """A map from word to packed ids that :meth:`room` empties when it has taken ``limit`` bytes, so memory stays bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 24_000_000):
         super().__init__()
-        self.limit = limit
+        self.limit, self.size = limit, 0
 
-    def room(self, more: int) -> None:
-        if len(self) + more > self.limit:
+    def room(self) -> None:
+        if self.size > self.limit:
             self.clear()
+            self.size = 0
+
+    def learn(self, found: dict) -> None:
+        self.update(found)
+        self.size += sum(240 + 4 * len(w) + len(ids) for w, ids in found.items())  # two objects and a place, at most
 
 
 def sliced(batch: pa.RecordBatch, text: str, most_bytes: int = 8_000_000):

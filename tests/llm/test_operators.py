@@ -158,8 +158,22 @@ def test_bpe_with_a_full_memory():
     codec = bpe.Codec(bpe.read_ranks(RANKS), P.PATTERN)
     codec.known.limit = 5
     text = "Nonsensical zqxjk wvutsr qqqqzz xxyyzzqq, zqxjk pppooo lllkkk jjjhhh nnnmmm"
-    first = codec.encode([text])[0]
-    assert codec.encode([text, text])[1] == first and codec.decode(first) == text.encode()
+    first = codec.encode(text)
+    assert codec.encode(text) == first and codec.decode(first) == text.encode()
+
+
+@pytest.mark.parametrize("text", ["ab" * 40_000, "é日🙂" * 9_000, "zq xj, " * 70_000, "!?" * 30_000 + "\n" * 5_000])
+def test_bpe_of_long_runs(text):
+    ranks = bpe.read_ranks(RANKS)
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.codec(RANKS, P.PATTERN)
+    ids = codec.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == plain.encode_ordinary(text) and codec.decode(ids) == text.encode()
+
+
+def test_bpe_round_trip_of_columns(docs, rows):
+    back = bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS)
+    assert by_key((r["doc_id"], bytes(r["decoded"])) for r in back.collect()) == by_key((i, (t or "").encode()) for i, t in rows)
 
 
 def mahalanobis(rows):
