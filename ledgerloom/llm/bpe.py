@@ -99,9 +99,9 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.find = regex.compile(pattern).finditer
         pack = struct.Struct("<I").pack
-        self.whole = {token.decode(): pack(rank) for token, rank in ranks.items() if _text(token)}
+        whole = {token.decode(): pack(rank) for token, rank in ranks.items() if _text(token)}
         self.table = [unmapped(self.model.id_to_piece(i)) for i in range(len(ranks))]
-        self.known = Packed()
+        self.known = Packed(always=whole)
 
     def _merged(self, tokens: list[str]) -> list[bytes]:
         ids = self.model.encode([mapped(t.encode()) for t in tokens], num_threads=1)
@@ -109,20 +109,22 @@ class Codec:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text as little-endian 32-bit integers; None counts as empty."""
-        out, whole, known = bytearray(), self.whole, self.known
+        out, known = bytearray(), self.known
         found = (m[0] for m in self.find(text or ""))
         while some := list(islice(found, TOKENS_AT_ONCE)):
-            missing = list({t for t in some if t not in whole and t not in known})
-            here = dict(zip(missing, self._merged(missing))) if missing else {}
-            out += b"".join([whole[t] if t in whole else here[t] if t in here else known[t] for t in some])
             known.room()
-            known.learn(here)
+            parts = list(map(known.get, some))
+            if None in parts:
+                missing = list({t for t, p in zip(some, parts) if p is None})
+                known.learn(dict(zip(missing, self._merged(missing))))
+                parts = map(known.__getitem__, some)
+            out += b"".join(parts)
         return bytes(out)
 
     def decode(self, ids: bytes) -> bytes:
         table, out = self.table, bytearray()
         for at in range(0, len(ids), 4 * TOKENS_AT_ONCE):
-            out += b"".join([table[i] for i in memoryview(ids)[at : at + 4 * TOKENS_AT_ONCE].cast("I")])
+            out += b"".join(map(table.__getitem__, memoryview(ids)[at : at + 4 * TOKENS_AT_ONCE].cast("I")))
         return bytes(out)
 
 
@@ -182,7 +184,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
     def work(packed: bytes | None) -> tuple[bytes | None]:
         table = pieces(path)
-        return (None if packed is None else b"".join([table[i] for i in memoryview(packed).cast("I")]),)
+        return (None if packed is None else b"".join(map(table.__getitem__, memoryview(packed).cast("I"))),)
 
     return _with_columns(rows, ids, {out: ("binary", pa.binary())}, work)
 

@@ -15,15 +15,16 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Packed(dict):
-    """A map from word to packed ids that :meth:`room` empties when it has taken ``limit`` bytes, so memory stays bounded."""
+    """A map from word to packed ids that :meth:`room` empties when it has taken ``limit`` bytes, so memory stays bounded; ``always`` stays."""
 
-    def __init__(self, limit: int = 24_000_000):
-        super().__init__()
-        self.limit, self.size = limit, 0
+    def __init__(self, limit: int = 64_000_000, always: dict | None = None):
+        super().__init__(always or {})
+        self.limit, self.size, self.always = limit, 0, always or {}
 
     def room(self) -> None:
         if self.size > self.limit:
             self.clear()
+            self.update(self.always)
             self.size = 0
 
     def learn(self, found: dict) -> None:
