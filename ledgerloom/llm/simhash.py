@@ -9,9 +9,12 @@ the radius. A bucket that is too large is parted again by four bands of the
 bits that its members need not share, as often as needed.
 
 For a similarity of 0.8 that radius is too small, and the distance of wide
-fingerprints only estimates it. There the distinct five-word shingles
-themselves are compared: sets that similar share one of their first few
-hashes, those that do share one meet, and each pair is verified whole.
+fingerprints only estimates it. There sets of distinct five-word shingles that
+share one of their first few hashes meet, as all sets that similar do. Inside
+such a bucket the bit planes of wide fingerprints leave out what is far, and
+parity maps what cannot be similar enough. The pairs that are left are compared
+shingle by shingle: first those of a forest of nearest neighbours, then those
+that it has not joined.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..operators.components import connected_components
 from ..storage import written
@@ -39,11 +43,14 @@ SHINGLE = 3
 LARGEST = 1024
 LEVELS = 4
 
-#: Five-word shingles, and the 64-bit words of a wide fingerprint of them.
-WIDE_SHINGLE, WIDE_WORDS = 5, 8
-#: How often frequent shingles may be moved to the end of the order.
-COOLED = 3
+#: Five-word shingles, and the 64-bit words of a wide fingerprint and of a parity map of them.
+WIDE_SHINGLE, WIDE_WORDS, PARITY_WORDS = 5, 4, 8
+#: Shingles that more sets have are moved to the end of the order, in so many rounds at most.
+HOT, COOLED = 16_384, 3
 SIMILARITY = 0.8
+#: So many standard deviations beyond the mean distance of a pair at the limit a fingerprint may lie; the last
+#: ones are for sets of few shingles, whose ties move the mean.
+DEVIATIONS = 7.5
 #: The increment and the two factors of the splitmix64 generator.
 _STEP, _FACTORS = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -67,9 +74,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, seed: int = 42) -> bytes:
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
     """A bit is 1 if it is set in over half of the distinct shingles, whose hashes are widened by splitmix64."""
-    h = np.unique(_hashes(text, shingle, seed))
+    h = shingles.view(np.uint64)
     ones = np.zeros(BITS * WIDE_WORDS, np.int64)
     steps = np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(_STEP)
     for at in range(0, len(h), 4096):
@@ -84,6 +91,17 @@ def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, seed: int =
     return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
+def parity_map(shingles: np.ndarray) -> bytes:
+    """Per value of some hash bits, whether it is found an odd number of times.
+
+    An element that only one of two sets has turns one bit, so their maps
+    differ in no more bits than the sets in elements.
+    """
+    n = BITS * PARITY_WORDS
+    odd = np.bincount((shingles & (n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _with_digest(docs: DataFrame, name: str, kind: str, digest: Callable[[list], pa.Array]) -> DataFrame:
     rest = docs.drop(name)
 
@@ -93,7 +111,7 @@ def _with_digest(docs: DataFrame, name: str, kind: str, digest: Callable[[list],
                 made = digest(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, name])
 
-    return rest.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rest.dtypes) + f", {name} {kind}")
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(name, DataType.fromDDL(kind))]))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -221,10 +239,13 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def forest(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, items_at_once: int = 32_768) -> np.ndarray:
-    """Labels (row numbers) of the components within each bucket; rows of a bucket stand together.
+def near_pairs(
+    fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, items_at_once: int = 32_768
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some at a time, the pairs of rows of one bucket within the radius; rows of a bucket stand together.
 
-    A row of ``fp`` holds the words of one fingerprint.
+    A row of ``fp`` holds the words of one fingerprint. An item is a row
+    against a block of 64.
     """
     n = len(fp)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -241,7 +262,7 @@ def forest(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, items_at_on
     held = np.zeros(len(lanes), np.int64)
     np.add.at(held, own_block, 1)
     full = np.where(held >= 64, ~np.uint64(0), (np.uint64(1) << (held % 64).astype(np.uint64)) - np.uint64(1))
-    planes, label = Planes(lanes), np.arange(n)
+    planes = Planes(lanes)
     # each row meets its own block's later lanes and the bucket's later blocks
     reach = np.repeat(block_of_bucket + n_blocks, size) - own_block
     ends = np.cumsum(reach)
@@ -259,57 +280,68 @@ def forest(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, items_at_on
         if len(item):
             bit = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             hit, col = np.nonzero(bit)
-            _unite(label, query[item[hit]], row_of[block[item[hit]], col])
+            yield query[item[hit]], row_of[block[item[hit]], col]
         at = upto
+
+
+def forest(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Labels (row numbers) of the components within each bucket; rows of a bucket stand together."""
+    label = np.arange(len(fp))
+    for a, b in near_pairs(fp, bucket, radius):
+        _unite(label, a, b)
     return label
 
 
-def links(
-    bucketed: DataFrame, keys: tuple[str, ...] = ("level", "path", "key"), radius: int = RADIUS, rows_at_once: int = 50_000
+def _per_bucket(
+    bucketed: DataFrame, keys: list[str], name: str, solve: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]],
+    rows_at_once: int,
 ) -> DataFrame:
-    """(a, b): for each bucket, a star per component of fingerprints linked inside it; never all pairs.
-
-    A fingerprint is a long that names itself, or binary with a column id beside it.
-    """
-    keys, name = list(keys), "id" if "id" in bucketed.columns else "fp"
+    """(a, b) of ``solve(rows, bucket)``, which gets whole buckets of two rows and more, many at once."""
     dealt = bucketed.repartition(*keys).sortWithinPartitions(*keys, name)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def whole(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         change = np.zeros(len(pdf), bool)
         for c in keys:
             v = pdf[c].to_numpy()
             change[1:] |= v[1:] != v[:-1]
         bucket = np.cumsum(change)
-        met = np.bincount(bucket)[bucket] > 1
-        bucket, ids, raw = bucket[met], pdf[name].to_numpy(np.int64)[met], pdf["fp"][met]
-        if not len(ids):
-            return pd.DataFrame({"a": ids, "b": ids})
-        fp = ids.view(np.uint64) if name == "fp" else np.frombuffer(b"".join(raw), "<u8")
-        label = forest(fp.reshape(len(ids), -1), bucket, radius)
-        tied = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"a": ids[label[tied]], "b": ids[tied]})
+        met = np.bincount(bucket)[bucket] > 1 if len(pdf) else change
+        if met.any():
+            yield from solve(pdf[met].reset_index(drop=True), bucket[met])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        n = 0
         for pdf in frames:
             held.append(pdf)
-            if sum(map(len, held)) < rows_at_once:
+            n += len(pdf)
+            if n < rows_at_once:
                 continue
             every = pd.concat(held, ignore_index=True)
             last = every[keys].iloc[-1]
-            same = (every[keys] == last).all(axis=1).to_numpy()
-            begun = int(np.argmax(same))  # the last bucket may go on in the next frame
+            begun = int(np.argmax((every[keys] == last).all(axis=1).to_numpy()))  # the last bucket may go on in the next frame
             if begun:
-                yield solve(every.iloc[:begun].reset_index(drop=True))
-            held = [every.iloc[begun:]]
+                yield from whole(every.iloc[:begun])
+                every = every.iloc[begun:]
+            held, n = [every], -len(every)  # so a bucket that fills it all is looked at again only when it has doubled
         if held:
-            every = pd.concat(held, ignore_index=True)
-            if len(every):
-                yield solve(every)
+            yield from whole(pd.concat(held, ignore_index=True))
 
     return dealt.mapInPandas(run, "a long, b long")
 
 
+def links(bucketed: DataFrame, rows_at_once: int = 50_000) -> DataFrame:
+    """(a, b): for each bucket, a star per component of fingerprints linked inside it; never all pairs."""
+
+    def solve(pdf: pd.DataFrame, bucket: np.ndarray) -> Iterator[pd.DataFrame]:
+        ids = pdf["fp"].to_numpy(np.int64)
+        label = forest(ids.view(np.uint64).reshape(-1, 1), bucket)
+        tied = np.flatnonzero(label != np.arange(len(label)))
+        yield pd.DataFrame({"a": ids[label[tied]], "b": ids[tied]})
+
+    return _per_bucket(bucketed, ["level", "path", "key"], "fp", solve, rows_at_once)
+
+
 def classes(distinct: DataFrame, largest: int = LARGEST) -> DataFrame:
     """Add ``root``, one fingerprint for each class of linked ones, to a table of distinct ones."""
     roots = connected_components(links(buckets(distinct.select("fp"), largest))).withColumnRenamed("node", "fp")
@@ -334,18 +366,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, largest: int = LARG
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, largest: int = LARGEST) -> DataFrame:
-    """One row of each class: that with the smallest doc_id, of equal ones any, one with a NULL id only if all have it."""
-    marked = fingerprints(docs, shingle).withColumn("_row", F.monotonically_increasing_id())
-    marked = written(marked, "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
+    """One row of each class: that with the smallest doc_id, of equal ones any, one with a NULL id only if all have it.
+
+    Other columns are carried along, whatever their names; an empty table gives no rows.
+    """
+    rows = docs.select("doc_id", "text", F.struct("*").alias("all"), F.monotonically_increasing_id().alias("id"))
+    marked = written(fingerprints(rows, shingle), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "id"))
     rooted = classes(marked.groupBy("fp").agg(first.alias("least")), largest)
-    chosen = rooted.groupBy("root").agg(F.min("least")["_row"].alias("_row")).select("_row")
-    return marked.join(chosen, "_row", "left_semi").select(*docs.columns)
+    chosen = rooted.groupBy("root").agg(F.min("least")["id"].alias("id")).select("id")
+    return marked.join(chosen, "id", "left_semi").select("all.*")
 
 
-def radius_of(similarity: float, bits: int = BITS * WIDE_WORDS) -> int:
-    """The bits by which fingerprints of two equally large shingle sets of this Jaccard similarity differ on average."""
-    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def radius_of(similarity: float, bits: int = BITS * WIDE_WORDS, deviations: float = DEVIATIONS) -> int:
+    """The bits within which fingerprints of two sets of this Jaccard similarity lie.
+
+    They differ in a binomial number of bits, whose rate the angle of equally
+    large sets gives; that many deviations above its mean lie about one in
+    10**13, and for sets of a few shingles one in 10**7.
+    """
+    rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * rate + deviations * math.sqrt(bits * rate * (1 - rate)))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -353,6 +394,11 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_hashes(text, WIDE_SHINGLE, 42).view(np.int64))
 
 
+def prefix_length(n: int, similarity: Fraction) -> int:
+    """Two sets that similar share one of so many first elements of theirs, in any order common to all sets."""
+    return n + math.floor(-similarity * n) + 1 if n else 0
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """(id, shingles) of a table (id, text)."""
 
@@ -363,79 +409,106 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """The entries (key, id, n) whose key more than one has; k tells how many."""
-    counted = entries.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    return written(counted.filter("k > 1"), "shared")
+    """The entries (key, id, n) whose key more than one has; k tells how many. A hot key is counted on every side first."""
+    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return written(entries.join(counts, "key"), "shared")
 
 
-def _meetings(shared: DataFrame, largest: int) -> DataFrame:
-    """(a, b), each (id, n), once for every key that two ids share.
-
-    A key's ids are dealt to blocks of about ``largest``, and each two blocks
-    meet in a group of their own; a block meets itself, too.
-    """
-    blocks = F.ceil(F.col("k") / largest)
-    dealt = shared.select("key", F.struct("id", "n").alias("x"), blocks.alias("blocks"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("x.id"), "blocks"))
-    one = dealt.select("key", F.col("x").alias("a"), F.col("own").alias("p"), F.expr("explode(sequence(own, blocks - 1))").alias("q"))
-    two = dealt.select("key", F.col("x").alias("b"), F.expr("explode(sequence(0L, own))").alias("p"), F.col("own").alias("q"))
-    met = one.join(two, ["key", "p", "q"]).filter("p < q or a.id < b.id")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def _cooled(entries: DataFrame, shared: DataFrame, texts: DataFrame, similarity: Fraction, largest: int) -> DataFrame:
-    """The same shared entries with keys of more than ``largest`` ids at the end of the order of all sets.
+def _cooled(entries: DataFrame, texts: DataFrame, similarity: Fraction, hot_from: int) -> DataFrame:
+    """The shared entries, with keys of more than ``hot_from`` ids at the end of the order of all sets.
 
     Any one order of all sets will do, so nothing is lost; a prefix without
     such a key stays as it is, and the others are drawn again from whole sets,
     in which all their frequent keys are counted. That may bring up further
     ones, for at most COOLED rounds; blocks hold what stays.
     """
-    many, t = F.col("k") > largest, similarity
-    hot = shared.filter(many).select("key").distinct()
+    many, t = F.col("k") > hot_from, similarity
+    shared = _shared(entries)
+    hot = written(shared.filter(many).select("key").distinct(), "hot")
     length = F.expr(f"n - ({t.numerator} * n + {t.denominator - 1}) div {t.denominator} + 1")
     order = Window.partitionBy("id").orderBy(F.coalesce("late", F.lit(False)), "key")
 
-    def touched() -> tuple[DataFrame, DataFrame]:
+    def touched(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The ids with a hot key in their prefix, and all of their shingles."""
         ids = written(entries.join(hot, "key", "left_semi").select("id").distinct(), "ids")
-        sets = _sets(texts.join(ids, "id", "left_semi"))
+        sets = written(_sets(texts.join(ids, "id", "left_semi")), "sets")
         return ids, sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
 
     for _ in range(COOLED):
-        hot = written(hot, "hot")
         if hot.isEmpty():
             break
-        counted = touched()[1].groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(many)
+        counted = touched(hot)[1].groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(many)
         hot = written(hot.unionByName(counted.select("key")).distinct(), "hot")
-        ids, whole = touched()
+        ids, whole = touched(hot)
         whole = whole.join(hot.withColumn("late", F.lit(True)), "key", "left")
         drawn = whole.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= length)
         shared = _shared(entries.join(ids, "id", "left_anti").unionByName(drawn.select("id", "n", "key")))
         more = written(shared.filter(many).select("key").distinct().join(hot, "key", "left_anti"), "hot")
         if more.isEmpty():
             break
-        hot = hot.unionByName(more)
+        hot = written(hot.unionByName(more), "hot")
     return shared
 
 
-def similar_links(texts: DataFrame, prefixes: DataFrame, similarity: float, largest: int = LARGEST) -> DataFrame:
-    """(a, b): every two ids whose shingle sets have at least this Jaccard similarity.
+BUCKET = ["key", "p", "q"]
+
+
+def _dealt(shared: DataFrame, largest: int) -> DataFrame:
+    """(key, p, q, side, id): a key's ids are dealt to blocks of about ``largest``, and each two blocks, or one alone, are a bucket."""
+    dealt = shared.select("key", "id", F.ceil(F.col("k") / largest).alias("blocks"))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("id"), "blocks"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return other.select("key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "id")
+
+
+def _spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b) at distance d those that join the rows: in each round every component takes its nearest one."""
+    order = np.argsort(d, kind="stable")
+    a, b, taken = a[order], b[order], []
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return tuple(np.concatenate([t[i] for t in taken] or [a[:0]]) for i in (0, 1))
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        first = np.unique(np.concatenate([np.unique(s, return_index=True)[1] for s in (x, y)]))
+        taken.append((a[first], b[first]))
+        _unite(label, a[first], b[first])
 
-    ``texts`` is (id, text), ``prefixes`` (id, n, prefix) with the size of the
-    set and its first shingles, as :func:`prefix_length` has it. Sets that
-    similar share one of them. Where the prefix that ends first ends, all
-    common ones so far are in both, so their number and the rest of its set
-    bound what the sets have in common; pairs that pass are compared whole.
+
+def _candidates(met: DataFrame, similarity: Fraction, forest_only: bool, rows_at_once: int = 20_000) -> DataFrame:
+    """(a, b) of one bucket and of different roots that may be similar enough; or a forest of nearest ones of them.
+
+    ``met`` is (key, p, q, side, id, root, n, fp, odd). What is left out lies
+    beyond the radius of the fingerprints, or its sizes or parity maps differ
+    too much for the similarity.
     """
-    t = Fraction(str(similarity))
-    own, both = t.numerator, t.numerator + t.denominator
-    entries = prefixes.select("id", "n", F.explode("prefix").alias("key"))
-    shared = _cooled(entries, _shared(entries), texts, t, largest)
-    met = _meetings(shared, largest).filter(f"{t.denominator} * least(a.n, b.n) >= {own} * greatest(a.n, b.n)")
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
-    least = f"(({own} * greatest(a.n, b.n) + {t.denominator - 1}) div {t.denominator})"
-    passed = counted.filter(f"{both} * (m + {least} - 1) >= {own} * (a.n + b.n)")
-    pairs = written(passed.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), "pairs")
+    num, den, radius = similarity.numerator, similarity.denominator, radius_of(float(similarity))
+
+    def solve(pdf: pd.DataFrame, bucket: np.ndarray) -> Iterator[pd.DataFrame]:
+        ids, n, side = (pdf[c].to_numpy(np.int64) for c in ("id", "n", "side"))
+        fp, odd = (np.frombuffer(b"".join(pdf[c]), "<u8").reshape(len(pdf), -1) for c in ("fp", "odd"))
+        alone = (pdf["p"] == pdf["q"]).to_numpy()
+        groups = pd.DataFrame({"b": bucket, "r": pdf["root"]}).groupby(["b", "r"]).ngroup().to_numpy()
+        label = np.unique(groups, return_index=True)[1][groups]
+        for i, j in near_pairs(fp, bucket, radius, 4096):
+            fine = (alone[i] | (side[i] != side[j])) & (label[i] != label[j])
+            fine &= den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
+            i, j = i[fine], j[fine]
+            apart = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+            fine = (den + num) * apart <= (den - num) * (n[i] + n[j])
+            i, j = i[fine], j[fine]
+            if forest_only:
+                i, j = _spanning(label, i, j, np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64))
+            if len(i):
+                yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+
+    return _per_bucket(met, BUCKET, "id", solve, rows_at_once).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs whose whole sets have at least this Jaccard similarity."""
+    own, both = similarity.numerator, similarity.numerator + similarity.denominator
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = written(_sets(texts.join(ids, "id", "left_semi")), "sets")
     for side in ("a", "b"):
@@ -444,45 +517,74 @@ def similar_links(texts: DataFrame, prefixes: DataFrame, similarity: float, larg
     return pairs.filter(f"{both} * {common} >= {own} * (size(of_a) + size(of_b))").select("a", "b")
 
 
-def prefix_length(n: int, similarity: Fraction) -> int:
-    """Two sets that similar share one of so many first elements of theirs, in any order common to all sets."""
-    return n + math.floor(-similarity * n) + 1 if n else 0
+def similar_links(
+    texts: DataFrame, sketches: DataFrame, similarity: float, largest: int = LARGEST, hot_from: int = HOT
+) -> DataFrame:
+    """(a, b): links that join all ids whose shingle sets have at least this Jaccard similarity, and no others.
+
+    ``texts`` is (id, text), ``sketches`` (id, n, prefix, fp, odd): the size of
+    the set, its first shingles, as :func:`prefix_length` has it, its
+    fingerprint and its parity map. Every similar pair shares a first shingle
+    and so a bucket. A forest of nearest neighbours per bucket is compared
+    first; then every pair that may be similar and that its links have not
+    joined, so a large group of near copies does not bring all its pairs.
+    """
+    t = Fraction(str(similarity))
+    entries = sketches.select("id", "n", F.explode("prefix").alias("key"))
+    shared = _cooled(entries, texts, t, hot_from)
+    met = _dealt(shared, largest).join(sketches.select("id", "n", "fp", "odd"), "id")
+    nearest = written(_candidates(met.withColumn("root", F.col("id")), t, True), "pairs")
+    linked = written(_verified(nearest, texts, t), "links")
+    roots = connected_components(linked)
+    rooted = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = written(_candidates(rooted, t, False).join(nearest, ["a", "b"], "left_anti"), "pairs")
+    ties = roots.filter("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return ties.unionByName(_verified(rest, texts, t))
+
 
+def sketched(docs: DataFrame, similarity: Fraction, out: str) -> DataFrame:
+    """Add ``out``, a struct of the shingle set's name (a digest of its hashes), n, prefix, fp and odd."""
+
+    def digest(texts: list) -> pa.Array:
+        sets = [shingle_set(t) for t in texts]
+        columns = {
+            "name": pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()),
+            "n": pa.array([len(h) for h in sets], pa.int64()),
+            "prefix": pa.array([h[: prefix_length(len(h), similarity)] for h in sets], pa.list_(pa.int64())),
+            "fp": pa.array([wide_fingerprint(h) for h in sets], pa.binary()),
+            "odd": pa.array([parity_map(h) for h in sets], pa.binary()),
+        }
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
-def similar_representatives(docs: DataFrame, similarity: float = SIMILARITY, largest: int = LARGEST) -> DataFrame:
+    kind = "struct<name: binary, n: bigint, prefix: array<bigint>, fp: binary, odd: binary>"
+    return _with_digest(docs, out, kind, digest)
+
+
+def similar_representatives(
+    docs: DataFrame, similarity: float = SIMILARITY, largest: int = LARGEST, hot_from: int = HOT
+) -> DataFrame:
     """One row of each class of texts whose five-word shingles are similar: that with the smallest doc_id.
 
     Texts link if the Jaccard similarity of their distinct shingles is at
-    least this; no such pair is missed. Equal sets are one node; empty and
-    NULL texts share one. Of repeated rows one stays, and one with a NULL id
-    only if its class has no other. An empty table gives no rows; other
-    columns are carried along.
+    least this. Equal sets are one node; empty and NULL texts share one, and a
+    text of fewer than five words is one shingle. Of repeated rows and of equal
+    ids one row stays, and one with a NULL id only if its class has no other.
+    An empty table gives no rows. Long texts take part whole. Other columns are
+    carried along, whatever their names.
     """
     exact = Fraction(str(similarity))
-
-    def digest(texts: list) -> pa.Array:
-        sets = [shingle_set(t) for t in texts]
-        return pa.StructArray.from_arrays(
-            [
-                pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()),
-                pa.array([len(h) for h in sets], pa.int64()),
-                pa.array([h[: prefix_length(len(h), exact)] for h in sets], pa.list_(pa.int64())),
-            ],
-            ["name", "n", "prefix"],
-        )
-
-    kind = "struct<name: binary, n: bigint, prefix: array<bigint>>"
-    marked = _with_digest(docs, "_set", kind, digest).withColumn("_set_row", F.monotonically_increasing_id())
-    marked = written(marked, "shingles")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("_set_row").alias("row")))
-    distinct = marked.groupBy("_set.name").agg(first.alias("least"))
+    rows = docs.select("doc_id", "text", F.struct("*").alias("all"), F.monotonically_increasing_id().alias("id"))
+    marked = written(sketched(rows, exact, "set"), "shingles")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("id").alias("row")))
+    distinct = marked.groupBy("set.name").agg(first.alias("least"))
     distinct = written(distinct.select("least", F.col("least.row").alias("id")), "distinct")
-    prefixes = marked.select(F.col("_set_row").alias("id"), "_set.n", "_set.prefix").join(distinct, "id", "left_semi")
-    texts = marked.select(F.col("_set_row").alias("id"), "text")
-    roots = connected_components(similar_links(texts, prefixes, similarity, largest)).withColumnRenamed("node", "id")
+    sketches = marked.select("id", "set.n", "set.prefix", "set.fp", "set.odd").join(distinct, "id", "left_semi")
+    sketches = written(sketches, "sketches")
+    linked = similar_links(marked.select("id", "text"), sketches, similarity, largest, hot_from)
+    roots = connected_components(linked).withColumnRenamed("node", "id")
     rooted = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    chosen = rooted.groupBy("root").agg(F.min("least")["row"].alias("_set_row")).select("_set_row")
-    return marked.join(chosen, "_set_row", "left_semi").select(*docs.columns)
+    chosen = rooted.groupBy("root").agg(F.min("least")["row"].alias("id")).select("id")
+    return marked.join(chosen, "id", "left_semi").select("all.*")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:

@@ -71,26 +71,19 @@ def statistics(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed
 
 
-def wide_simhash(text):
-    """512 bits of the distinct five-word shingles, as 32 bands of 16 bits."""
+def shingles(text):
     w = word_list(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    shingles = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    mask, wide = 2**64 - 1, []
-    for s in shingles:
-        h, value = xxhash.xxh64_intdigest(s.encode(), 42), 0
-        for k in range(8):
-            x = (h + (k + 1) * 0x9E3779B97F4A7C15) & mask
-            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
-            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
-            value |= (x ^ x >> 31) << 64 * k
-        wide.append(value)
-    whole = sum((2 * sum(x >> i & 1 for x in wide) > len(wide)) << i for i in range(512))
-    return tuple(whole >> 16 * b & 0xFFFF for b in range(32))
-
-
-def wide_classes(prints, radius, least_bands=1):
-    p = sorted(set(prints))
-    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
-    shared = lambda a, b: sum(x == y for x, y in zip(a, b))
-    links = [(a, b) for i, a in enumerate(p) for b in p[i + 1 :] if shared(a, b) >= least_bands and bits(a, b) <= radius]
-    return least_reachable(p, links)
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def similar_classes(rows, num=4, den=5):
+    """For each class under the Jaccard similarity of all pairs of five-word shingle sets: its smallest id, or None."""
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(shingles(t), []).append(i)
+    nodes = list(sets)
+    links = [(i, j) for i, a in enumerate(nodes) for j, b in enumerate(nodes[:i]) if a and b and den * len(a & b) >= num * len(a | b)]
+    least = {}
+    for k, root in least_reachable(range(len(nodes)), links).items():
+        least.setdefault(root, []).extend(i for i in sets[nodes[k]] if i is not None)
+    return sorted((min(x) if x else None for x in least.values()), key=lambda i: (i is None, i or 0))
