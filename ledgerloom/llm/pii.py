@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..storage import written
 from .words import sliced
@@ -264,14 +265,19 @@ def replace(docs: DataFrame, key: bytes, sent_to_all: int = SENT_TO_ALL) -> Data
 
     A NULL text stays NULL and has none. Rows do not depend on each other but
     through the collision check; repeated rows come out alike, NULL ids take
-    part, an empty table gives no rows. A column called n_entities is replaced.
+    part, an empty table gives no rows. A long text is searched whole, line by
+    line. A column called n_entities is replaced; all others stay, whatever
+    their names.
     """
-    base = docs.drop("n_entities", "_again")
+    others = [c for c in docs.columns if c.lower() not in ("text", "n_entities")]
+    base = docs.select("text", (F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(0)).alias("all"))
     again = written(redrawn(written(entities(base), "entities"), key), "redrawn")
     if again.count() <= sent_to_all:
-        table = {(r["kind"], r["entity"]): r["attempt"] for r in again.collect()}
-        return _applied(base, key, table)
-    return _joined(base, key, again)
+        done = _applied(base, key, {(r["kind"], r["entity"]): r["attempt"] for r in again.collect()})
+    else:
+        done = _joined(base, key, again)
+    columns = [F.col("text") if c.lower() == "text" else F.col("all").getField(c).alias(c) for c in docs.columns if c.lower() != "n_entities"]
+    return done.select(*columns, "n_entities")
 
 
 def _rewrite(text: str | None, key: bytes, attempts: dict) -> tuple[str | None, int]:
@@ -291,20 +297,21 @@ def _rewrite(text: str | None, key: bytes, attempts: dict) -> tuple[str | None,
 
 
 def _applied(rows: DataFrame, key: bytes, table: dict) -> DataFrame:
-    names = [c for c in rows.columns if c != "_again"]
+    """Rewrite ``text`` of (text, all[, again]); redrawn entities stand in ``table`` or beside the row in ``again``."""
+    fields = [f for f in rows.schema.fields if f.name != "again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text"):
                 texts = part.column("text").to_pylist()
-                own = part.column("_again").to_pylist() if "_again" in part.schema.names else [None] * len(texts)
+                own = part.column("again").to_pylist() if "again" in part.schema.names else [None] * len(texts)
                 out = [_rewrite(t, key, {(x["kind"], x["entity"]): x["attempt"] for x in o} if o else table) for t, o in zip(texts, own)]
                 made = {"text": pa.array([t for t, _ in out], pa.string())}
-                columns = [made.get(c, part.column(c)) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in out], pa.int64())], [*names, "n_entities"])
+                columns = [made[f.name] if f.name in made else part.column(f.name) for f in fields]
+                columns.append(pa.array([n for _, n in out], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in fields), "n_entities"])
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n_entities long")
+    return rows.mapInArrow(run, StructType([*fields, StructField("n_entities", LongType())]))
 
 
 def _joined(base: DataFrame, key: bytes, again: DataFrame) -> DataFrame:
@@ -324,6 +331,6 @@ def _joined(base: DataFrame, key: bytes, again: DataFrame) -> DataFrame:
         found.distinct()
         .join(again, ["kind", "entity"])
         .groupBy("_text")
-        .agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_again"))
+        .agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("again"))
     )
     return _applied(marked.join(own, "_text", "left").drop("_text"), key, {})

@@ -25,6 +25,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..storage import release, written
 from .words import words
@@ -136,7 +137,7 @@ class _Sender:
         left, right = text.start[first].tolist(), text.end[ends + WINDOW - 1].tolist()
         who, data = owner[first], text.data
         begins = np.searchsorted(owner, np.arange(len(self.lines)))
-        doc, tag = np.array(self.doc, np.int64)[who], np.array(self.tag, np.int32)[who]
+        doc, tag = np.array(self.doc, np.int64)[who], np.array(self.tag, np.int64)[who]
         start = (first - begins[who]).astype(np.int32)
         del text, key, valid, begin
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() + [len(bucket)]
@@ -167,7 +168,7 @@ class _Sender:
     @staticmethod
     def _raw(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> bytes:
         step = np.diff(doc, prepend=np.int64(0)) if len(doc) else doc
-        return step.astype("<i8").tobytes() + tag.astype("<i4").tobytes() + start.astype("<i4").tobytes()
+        return step.astype("<i8").tobytes() + tag.astype("<i8").tobytes() + start.astype("<i4").tobytes()
 
     def _places(self, doc, tag, start) -> bytes:
         return self.pack(struct.pack("<I", len(doc)) + self._raw(doc, tag, start))
@@ -175,14 +176,14 @@ class _Sender:
 
 def _places(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc = np.cumsum(np.frombuffer(data, "<i8", n))
-    return doc, np.frombuffer(data, "<i4", n, 8 * n), np.frombuffer(data, "<i4", n, 12 * n)
+    return doc, np.frombuffer(data, "<i8", n, 8 * n), np.frombuffer(data, "<i4", n, 16 * n)
 
 
 SENT = "bucket long, often binary, body binary"
 
 
 def send(docs: DataFrame, buckets: int, often: int = OFTEN) -> DataFrame:
-    """Super-k-mers of the documents (doc_id long, tag int, text), packed per bucket and sender."""
+    """Super-k-mers of the documents (doc_id long, tag long, text), packed per bucket and sender."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(buckets, often)
@@ -234,7 +235,7 @@ def equal_windows(text: _Text, at: np.ndarray, window: int = WINDOW) -> tuple[np
     return order, new
 
 
-FOUND = "doc_id long, tag int, first int, last int, often binary, body binary"
+FOUND = "doc_id long, tag long, first int, last int, often binary, body binary"
 
 
 def _found(doc, tag, first, last) -> pd.DataFrame:
@@ -298,7 +299,7 @@ def judge(bodies: list[bytes]) -> Iterator[pd.DataFrame]:
         if strings[s] not in seen:
             seen.add(strings[s])
             vector = least[base[s] : base[s] + n_windows[s]].astype("<i8").tobytes()
-            yield pd.DataFrame({"doc_id": [None], "tag": [None], "first": [None], "last": [-1], "often": [xxhash.xxh128_digest(strings[s])], "body": [vector]}).astype({"doc_id": "Int64", "tag": "Int32", "first": "Int32"})
+            yield pd.DataFrame({"doc_id": [None], "tag": [None], "first": [None], "last": [-1], "often": [xxhash.xxh128_digest(strings[s])], "body": [vector]}).astype({"doc_id": "Int64", "tag": "Int64", "first": "Int32"})
 
 
 def _flag(doc, tag, start, n, base, least) -> pd.DataFrame:
@@ -324,7 +325,7 @@ def meet(sent: DataFrame) -> DataFrame:
             if apart.any():
                 far = pdf[apart]
                 none = pd.array([None] * len(far), "Int64")
-                yield pd.DataFrame({"doc_id": none, "tag": none.astype("Int32"), "first": none.astype("Int32"), "last": none.astype("Int32"), "often": far["often"].to_numpy(), "body": far["body"].to_numpy()})
+                yield pd.DataFrame({"doc_id": none, "tag": none, "first": none.astype("Int32"), "last": none.astype("Int32"), "often": far["often"].to_numpy(), "body": far["body"].to_numpy()})
             for b, body in zip(pdf["bucket"][~apart], pdf["body"][~apart]):
                 if b != bucket and held:
                     yield from judge(held)
@@ -353,7 +354,7 @@ def _often_runs(found: DataFrame) -> DataFrame:
                 size, zero = np.full(n, len(least)), np.zeros(n, np.int64)
                 yield _flag(doc, tag, start, size, zero, least)[["doc_id", "tag", "first", "last"]]
 
-    return apart.join(minima, "often").mapInPandas(run, "doc_id long, tag int, first int, last int")
+    return apart.join(minima, "often").mapInPandas(run, "doc_id long, tag long, first int, last int")
 
 
 def repeated_runs(docs: DataFrame, often: int = OFTEN) -> DataFrame:
@@ -372,25 +373,26 @@ def remove_repeats(docs: DataFrame, often: int = OFTEN) -> DataFrame:
 
     A NULL text has no words and NULL doc_ids neither lose words nor cause
     others to; equal doc_ids never affect each other, so repeated rows get the
-    same result. An empty table gives no rows. Columns of ``docs`` with the
-    names of the added ones are replaced.
+    same result. Texts of one doc_id are told apart by a 64-bit hash. A long
+    text is taken whole, one of fewer than 13 words loses nothing. An empty
+    table gives no rows. Columns of ``docs`` with the names of the added ones
+    are replaced; all others stay, whatever their names.
     """
-    base = docs.drop("n_words", "n_removed", "kept", "tag", "runs")
-    # rows are told apart by doc_id and a 32-bit hash of the text
-    marked = base.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tag", F.hash("text"))
+    made = ("n_words", "n_removed", "kept")
+    names = [c for c in docs.columns if c.lower() not in made]
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("all"))
     runs = (
-        repeated_runs(marked.select("doc_id", "tag", "text"), often)
+        repeated_runs(base.select("doc_id", "tag", "text"), often)
         .groupBy("doc_id", "tag")
         .agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     )
-    both = marked.join(runs, ["doc_id", "tag"], "left")
-    names = [c for c in base.columns]
-    rows = both.select(*names, F.col("runs.first").alias("_first"), F.col("runs.last").alias("_last"))
+    both = base.join(runs, ["doc_id", "tag"], "left")
+    rows = both.select("all", F.col("all.text").alias("text"), F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, first, last in zip(*(batch.column(c) for c in ("text", "_first", "_last"))):
+            for text, first, last in zip(*(batch.column(c) for c in ("text", "first", "last"))):
                 w = words(text.as_py())
                 edge = np.zeros(len(w) + 1, np.int32)
                 if first.is_valid:
@@ -403,13 +405,11 @@ def remove_repeats(docs: DataFrame, often: int = OFTEN) -> DataFrame:
                 n_words.append(len(w))
                 n_removed.append(len(w) - len(stay))
                 kept.append(b" ".join(stay).decode())
-            made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-            columns = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, *made], [*names, "n_words", "n_removed", "kept"])
+            columns = [batch.column("all"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["all", *made])
 
-    kinds = dict(both.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n_words long, n_removed long, kept string"
-    return rows.mapInArrow(run, schema)
+    schema = StructType([rows.schema["all"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
+    return rows.mapInArrow(run, schema).select("all.*", *made)
 
 
 def removal_report(docs: DataFrame, often: int = OFTEN) -> DataFrame:

@@ -13,43 +13,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Components of this size and more take no part: their scores might not fit a long.
-TOO_LARGE = 2**24
+from ..storage import written
+
+#: Components below this add up in 64-bit integers; blocks with larger ones use Python's.
+PLAIN = 2**24
 ROWS_PER_BLOCK = 65_536
-QUERIES_PER_BLOCK = 256
+QUERIES_PER_BLOCK = 65_536
+LONG = (-(2**63), 2**63 - 1)
 
 
 def quantised(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, v array<int>) of the rows that take part, one per id.
+    """(row, vec_id, v array<double> of whole numbers) of the rows that take part, written once; ``row`` names a row.
 
-    NULL ids and vectors, and vectors with a NULL, non-finite or too large
-    component, take no part. Repeated rows count once; where one id has
-    several vectors the smallest stands for it.
+    NULL ids and vectors, and vectors with a NULL or non-finite component,
+    take no part. Repeated ids and rows stay rows of their own. Other columns
+    are left out.
     """
     x = F.col(vector)
-    fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) * scale < TOO_LARGE)
-    return (
-        rows.filter(F.col(id_col).isNotNull() & x.isNotNull())
-        .filter(F.forall(x, fine))
-        .select(
-            F.col(id_col).cast("long").alias("vec_id"),
-            F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("int")).alias("v"),
-        )
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
-    )
+    fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf"))
+    taken = rows.filter(F.col(id_col).isNotNull() & x.isNotNull()).filter(F.forall(x, fine))
+    taken = taken.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: _floor(c.cast("double") * scale)).alias("v"))
+    return written(taken.withColumn("row", F.monotonically_increasing_id()), "vectors")
+
+
+def _floor(c: Column) -> Column:
+    """The floor as a double; from 2**53 on a double is whole already."""
+    return F.when(F.abs(c) < float(2**53), F.floor(c).cast("double")).otherwise(c)
+
+
+def _whole(vectors: np.ndarray) -> np.ndarray:
+    """Whole doubles as integers that sums of products fit."""
+    if not vectors.size or np.abs(vectors).max() < PLAIN:
+        return vectors.astype(np.int64)
+    return np.array([[int(x) for x in v] for v in vectors], object).reshape(vectors.shape)
 
 
 class Slices:
     """The bit-sliced index of one block: rows in id order, a bitmap of 64-row words per component and bit."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, vectors = ids[order], vectors[order].astype(np.int64)
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray):
+        order = np.lexsort((rows, ids))
+        self.ids, vectors = ids[order], vectors[order]
+        self.place = {r: i for i, r in enumerate(rows[order].tolist())}
         self.n, self.dim = vectors.shape
         self.words = -(-self.n // 64)
         self.least = vectors.min(axis=0) if self.dim else np.zeros(0, np.int64)
@@ -71,7 +80,7 @@ class Slices:
         inverted bitmaps, which count 2**bits - 1 too much.
         """
         levels: list[list[np.ndarray]] = [[]]
-        base = int(query @ self.least)
+        base = sum(int(w) * int(x) for w, x in zip(query, self.least))
         for d, weight in enumerate(query.tolist()):
             at = 0
             while weight:
@@ -89,12 +98,11 @@ class Slices:
                 at += 1
         return _add(levels, self.words), base
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows but the query's own, unordered."""
+    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int]]:
+        """(ids, scores) of the k best rows but the row ``own``, unordered."""
         slices, base = self.scores(query)
         left = self.all.copy()
-        at = int(np.searchsorted(self.ids, own))
-        if at < self.n and self.ids[at] == own:
+        if (at := self.place.get(own)) is not None:
             left[at >> 6] &= ~np.uint64(1 << (at & 63))
         sure, n_sure = np.zeros_like(left), 0
         for s in reversed(slices):
@@ -110,9 +118,10 @@ class Slices:
                     break
         chosen = np.concatenate([_positions(sure), _positions(left)[: k - n_sure]])
         word, shift = chosen >> 6, (chosen & 63).astype(np.uint64)
-        score = np.full(len(chosen), base, np.int64)
+        score = [base] * len(chosen)
         for b, s in enumerate(slices):
-            score += ((s[word] >> shift) & np.uint64(1)).astype(np.int64) << b
+            bit = ((s[word] >> shift) & np.uint64(1)).tolist()
+            score = [x + (y << b) for x, y in zip(score, bit)]
         return self.ids[chosen], score
 
 
@@ -156,38 +165,60 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best rows but its own; ties go to the smaller id.
 
-    Both inputs are (vec_id, v) as :func:`quantised` makes them. Rows and
-    queries are dealt by a hash of the id into blocks of about the given sizes,
-    and every pair of blocks of one dimension is a group of its own, so a
-    worker holds one block of rows and one of queries. Each pair of blocks
-    returns k rows per query, of which the best k stay. An empty table or
-    query set gives no rows.
+    Both inputs are (row, vec_id, v) as :func:`quantised` makes them. Rows and
+    queries are dealt by a hash of ``row`` into blocks of about the given
+    sizes, with at least as many cells as the cluster has cores, and every pair
+    of blocks of one dimension is a cell. A worker reads the rows of its cell,
+    builds their index once and answers the queries as they stream past, so it
+    holds one block of rows. Each cell returns k rows per query, of which the
+    best k stay. Queries that share an id each get their own rows. A score
+    beyond the range of a long stands at its end. An empty table or query set
+    gives no rows.
     """
-    spark = rows.sparkSession
-    rows = rows.withColumn("dim", F.size("v"))
-    queries = queries.withColumn("dim", F.size("v"))
     n, q = rows.count(), queries.count()
-    r_blocks, q_blocks = max(1, -(-n // rows_per_block)), max(1, -(-q // queries_per_block))
+    r_blocks = max(1, -(-n // rows_per_block))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-q // queries_per_block), min(-(-cores // r_blocks), q))
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    index = rows.withColumn("rb", block(r_blocks)).withColumn("qb", numbers(q_blocks)).withColumn("is_query", F.lit(False))
-    asked = queries.withColumn("qb", block(q_blocks)).withColumn("rb", numbers(r_blocks)).withColumn("is_query", F.lit(True))
-    cells = index.unionByName(asked)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask = pdf["is_query"].to_numpy(bool)
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if ask.any() and not ask.all():
-            matrix = np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), -1)
-            ids = pdf["vec_id"].to_numpy(np.int64)
-            slices = Slices(ids[~ask], matrix[~ask])
-            for own, vector in zip(ids[ask], matrix[ask]):
-                found, score = slices.top(vector, int(own), k)
-                out["query_id"].append(np.full(len(found), own))
-                out["vec_id"].append(found)
-                out["score"].append(score)
-        return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in out.items()})
-
-    found = cells.groupBy("dim", "rb", "qb").applyInPandas(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    block = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
+    slim = lambda df: df.select("row", "vec_id", "v", F.size("v").alias("dim"))
+    index = slim(rows).withColumn("rb", block(r_blocks)).withColumn("qb", numbers(q_blocks)).withColumn("asks", F.lit(False))
+    asked = slim(queries).withColumn("qb", block(q_blocks)).withColumn("rb", numbers(r_blocks)).withColumn("asks", F.lit(True))
+    cell = ["dim", "rb", "qb"]
+    cells = index.unionByName(asked).repartition(*cell).sortWithinPartitions(*cell, "asks")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, slices = None, [], None
+        for pdf in frames:
+            change = (pdf[cell] != pdf[cell].shift()).any(axis=1).to_numpy().copy()
+            change |= (pdf["asks"] != pdf["asks"].shift()).to_numpy()
+            cuts = [*np.flatnonzero(change).tolist(), len(pdf)]
+            for a, b in zip(cuts, cuts[1:]):
+                part = pdf.iloc[a:b]
+                here = tuple(part[cell].iloc[0])
+                if here != now:
+                    now, held, slices = here, [], None
+                if not part["asks"].iloc[0]:
+                    held.append(part)
+                    continue
+                if held:
+                    every = pd.concat(held)
+                    slices = Slices(every["vec_id"].to_numpy(np.int64), every["row"].to_numpy(np.int64), _whole(_matrix(every["v"])))
+                    held = []
+                if slices is not None:
+                    yield answers(slices, part)
+
+    def answers(slices: Slices, part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for own, name, vector in zip(part["row"], part["vec_id"], _whole(_matrix(part["v"]))):
+            found, score = slices.top(vector, int(own), k)
+            out += [(own, name, i, min(max(s, LONG[0]), LONG[1])) for i, s in zip(found.tolist(), score)]
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"])
+
+    found = cells.mapInPandas(run, "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), float).reshape(len(vectors), -1)
