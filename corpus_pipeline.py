@@ -10,70 +10,88 @@ from __future__ import annotations
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import packing, pii, quality, simhash, substrings
 from ledgerloom.llm.queries import DEMO_KEY
 from ledgerloom.storage import remove, scratch_scope, written
 
-_scratch: list[str] = []
+#: Scratch tables by application and sf_dir, then by stage.
+_scratch: dict[tuple[str, str], dict[int, list[str]]] = {}
 
 
-def _stage(work):
-    """Delete the scratch tables of the stage before, whose result is written by now, and note this stage's own.
+def _stage(index: int):
+    """Delete the scratch tables of earlier stages of the same sf_dir, whose results are written by now; note this one's own.
 
-    Tables that ``docs`` still reads stay.
+    Tables that ``docs`` still reads stay. Two runs over one sf_dir in one
+    application must follow one another; other runs do not meet.
     """
 
-    @wraps(work)
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _scratch else []
-        held = [p for p in _scratch if any(p.rsplit("/", 1)[1] in f for f in read)]
-        remove(spark, [p for p in _scratch if p not in held])
-        with scratch_scope() as made:
-            out = work(spark, docs, sf_dir)
-        _scratch[:] = held + made
-        return out
+    def decorate(work):
+        @wraps(work)
+        def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            made_by = _scratch.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+            done = [p for i, paths in made_by.items() if i < index for p in paths]
+            read = docs.inputFiles() if done else []
+            held = {p for p in done if any(p.rsplit("/", 1)[1] in f for f in read)}
+            remove(spark, [p for p in done if p not in held])
+            for i, paths in made_by.items():
+                if i < index:
+                    paths[:] = [p for p in paths if p in held]
+            with scratch_scope() as made:
+                out = work(spark, docs, sf_dir)
+            made_by.setdefault(index, []).extend(made)
+            return out
 
-    return stage
+        return stage
 
+    return decorate
 
-@_stage
+
+@_stage(0)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep."""
-    measured = written(quality.with_statistics(docs), "measured")
-    return quality.judged(measured).filter("kept").select(*docs.columns)
+    """Rows that the quality rules keep, as :func:`quality.judged` says of NULLs, ties, empty tables and small groups.
+
+    All columns stay as they are, whatever their names.
+    """
+    wrapped = docs.select("text", "lang", "source", F.struct("*").alias("row"))
+    measured = written(quality.with_statistics(wrapped).drop("text"), "measured")
+    return quality.judged(measured).filter("kept").select("row.*")
 
 
-@_stage
+@_stage(1)
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of texts whose five-word shingles are similar to 0.8."""
+    """One row of each class of texts whose five-word shingles are similar to 0.8, see :func:`simhash.similar_representatives`."""
     return simhash.similar_representatives(docs)
 
 
-@_stage
+@_stage(2)
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document holds; texts that lose nothing stay as they are."""
-    cut = substrings.remove_repeats(docs)
+    """Texts without the passages that an earlier document holds; texts that lose nothing stay as they are.
+
+    NULLs, ties, repeated rows and empty tables as :func:`substrings.remove_repeats` has them.
+    """
+    cut = substrings.remove_repeats(docs.select("doc_id", "text", F.struct("*").alias("row")))
     return _with_text(cut, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), docs.columns)
 
 
-@_stage
+@_stage(3)
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for private data."""
-    return _with_text(pii.replace(docs, DEMO_KEY), F.col("text"), docs.columns)
+    """Texts with surrogates for private data, see :func:`pii.replace`."""
+    return _with_text(pii.replace(docs.select("text", F.struct("*").alias("row")), DEMO_KEY), F.col("text"), docs.columns)
 
 
-@_stage
+@_stage(4)
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences."""
+    """The pieces of the documents and their places in sequences, see :func:`packing.pack_documents`."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _with_text(rows: DataFrame, text, columns: list[str]) -> DataFrame:
-    rows = rows.withColumn("text", text)
-    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+def _with_text(rows: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+    """The columns of ``row`` with the new text, and with n_chars after it."""
+    made = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return rows.select(*(made.get(c, F.col("row").getField(c)).alias(c) for c in columns))
 
 
 STAGES = [
