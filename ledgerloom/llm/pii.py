@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..storage import written
+from .rows import unwrapped, wrapped
 from .words import sliced
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
@@ -269,15 +270,13 @@ def replace(docs: DataFrame, key: bytes, sent_to_all: int = SENT_TO_ALL) -> Data
     line. A column called n_entities is replaced; all others stay, whatever
     their names.
     """
-    others = [c for c in docs.columns if c.lower() not in ("text", "n_entities")]
-    base = docs.select("text", (F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(0)).alias("all"))
+    base = wrapped(docs, "text", without=("n_entities",))
     again = written(redrawn(written(entities(base), "entities"), key), "redrawn")
     if again.count() <= sent_to_all:
         done = _applied(base, key, {(r["kind"], r["entity"]): r["attempt"] for r in again.collect()})
     else:
         done = _joined(base, key, again)
-    columns = [F.col("text") if c.lower() == "text" else F.col("all").getField(c).alias(c) for c in docs.columns if c.lower() != "n_entities"]
-    return done.select(*columns, "n_entities")
+    return done.select(*unwrapped([c for c in docs.columns if c.lower() != "n_entities"], "text"), "n_entities")
 
 
 def _rewrite(text: str | None, key: bytes, attempts: dict) -> tuple[str | None, int]:
@@ -297,7 +296,7 @@ def _rewrite(text: str | None, key: bytes, attempts: dict) -> tuple[str | None,
 
 
 def _applied(rows: DataFrame, key: bytes, table: dict) -> DataFrame:
-    """Rewrite ``text`` of (text, all[, again]); redrawn entities stand in ``table`` or beside the row in ``again``."""
+    """Rewrite ``text`` of (text, row[, again]); redrawn entities stand in ``table`` or beside the row in ``again``."""
     fields = [f for f in rows.schema.fields if f.name != "again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import discard, written
+from .rows import unwrapped, wrapped
 from .words import GAP, SPACES
 
 SYMBOLS = "#*$%&|<>"
@@ -107,16 +108,12 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         without(SYMBOLS).cast("long").alias("symbols"),
         dup.cast("long").alias("lines"),
     )
-    rows = docs.select(_all_but(docs, STATISTICS).alias("all"), measured.alias("m"))
+    rows = wrapped(docs, text, without=STATISTICS).withColumn("m", measured)
     n, repeats = F.col("m.c.n").cast("long"), F.col("m.c.r").cast("long")
     failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
     values = (n, F.col("m.chars"), F.col("m.symbols"), F.col("m.lines"), repeats, failed)
-    return rows.select("all.*", *(v.alias(name) for v, name in zip(values, STATISTICS)))
-
-
-def _all_but(df: DataFrame, names: tuple[str, ...]) -> Column:
-    """The other columns as one struct, so that no name of theirs meets one of this module."""
-    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in names))
+    columns = [c for c in docs.columns if c.lower() not in STATISTICS]
+    return rows.select(*unwrapped(columns, text), *(v.alias(name) for v, name in zip(values, STATISTICS)))
 
 
 def _features() -> dict[str, Column]:
@@ -304,12 +301,13 @@ def judged(measured: DataFrame) -> DataFrame:
     rows = written(measured.filter("not base_failed").select(*_keyed()), "features")
     found = _factored(written(estimates(rows), "estimate"), consistency(KEPT_SHARE, len(FEATURES)))
     known = found.select(*KEY, *(c for c in found.columns if c.startswith(("m_", "l_"))))
-    every = measured.select(*_keyed("base_failed", _all_but(measured, ("kept",)).alias("all")))
+    columns = [c for c in measured.columns if c.lower() != "kept"]
+    every = measured.select(*_keyed("base_failed", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")))
     limit = F.lit(chi2_quantile(1 - TAIL, len(FEATURES)))
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     kept = ~F.col("base_failed") & (F.col("d2") <= limit)
     rows = _with_d2(every.join(salted, [*KEY, "salt"], "left"))
-    return rows.select("all.*", F.coalesce(kept, F.lit(False)).alias("kept"))
+    return rows.select(*unwrapped(columns), F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

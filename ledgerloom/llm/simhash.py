@@ -34,6 +34,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 from ..operators.components import connected_components
 from ..storage import written
+from .rows import unwrapped, wrapped
 from .words import sliced, words
 
 RADIUS = 3
@@ -107,7 +108,7 @@ def _with_digest(docs: DataFrame, name: str, kind: str, digest: Callable[[list],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, "text"):
+            for part in sliced(batch, "text", 1 << 20):
                 made = digest(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, name])
 
@@ -370,12 +371,12 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, largest: int = LARG
 
     Other columns are carried along, whatever their names; an empty table gives no rows.
     """
-    rows = docs.select("doc_id", "text", F.struct("*").alias("all"), F.monotonically_increasing_id().alias("id"))
+    rows = wrapped(docs, "doc_id", "text").withColumn("id", F.monotonically_increasing_id())
     marked = written(fingerprints(rows, shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "id"))
     rooted = classes(marked.groupBy("fp").agg(first.alias("least")), largest)
     chosen = rooted.groupBy("root").agg(F.min("least")["id"].alias("id")).select("id")
-    return marked.join(chosen, "id", "left_semi").select("all.*")
+    return marked.join(chosen, "id", "left_semi").select(*unwrapped(docs.columns, "doc_id", "text"))
 
 
 def radius_of(similarity: float, bits: int = BITS * WIDE_WORDS, deviations: float = DEVIATIONS) -> int:
@@ -573,7 +574,7 @@ def similar_representatives(
     carried along, whatever their names.
     """
     exact = Fraction(str(similarity))
-    rows = docs.select("doc_id", "text", F.struct("*").alias("all"), F.monotonically_increasing_id().alias("id"))
+    rows = wrapped(docs, "doc_id", "text").withColumn("id", F.monotonically_increasing_id())
     marked = written(sketched(rows, exact, "set"), "shingles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("id").alias("row")))
     distinct = marked.groupBy("set.name").agg(first.alias("least"))
@@ -584,7 +585,7 @@ def similar_representatives(
     roots = connected_components(linked).withColumnRenamed("node", "id")
     rooted = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     chosen = rooted.groupBy("root").agg(F.min("least")["row"].alias("id")).select("id")
-    return marked.join(chosen, "id", "left_semi").select("all.*")
+    return marked.join(chosen, "id", "left_semi").select(*unwrapped(docs.columns, "doc_id", "text"))
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..storage import release, written
+from .rows import unwrapped, wrapped
 from .words import words
 
 WINDOW = 13
@@ -380,14 +381,16 @@ def remove_repeats(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     """
     made = ("n_words", "n_removed", "kept")
     names = [c for c in docs.columns if c.lower() not in made]
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("all"))
+    base = wrapped(docs, "text", without=made).withColumns(
+        {"doc_id": F.col("row.doc_id").cast("long"), "tag": F.xxhash64("text")}
+    )
     runs = (
         repeated_runs(base.select("doc_id", "tag", "text"), often)
         .groupBy("doc_id", "tag")
         .agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     )
     both = base.join(runs, ["doc_id", "tag"], "left")
-    rows = both.select("all", F.col("all.text").alias("text"), F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
+    rows = both.select("row", "text", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,11 +408,13 @@ def remove_repeats(docs: DataFrame, often: int = OFTEN) -> DataFrame:
                 n_words.append(len(w))
                 n_removed.append(len(w) - len(stay))
                 kept.append(b" ".join(stay).decode())
-            columns = [batch.column("all"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["all", *made])
+            columns = [batch.column("row"), batch.column("text")]
+            columns += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "text", *made])
 
-    schema = StructType([rows.schema["all"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
-    return rows.mapInArrow(run, schema).select("all.*", *made)
+    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
+    done = rows.mapInArrow(run, StructType([rows.schema["row"], rows.schema["text"], *added]))
+    return done.select(*unwrapped(names, "text"), *made)
 
 
 def removal_report(docs: DataFrame, often: int = OFTEN) -> DataFrame:
