@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import packing, pii, quality, simhash, substrings
 from ledgerloom.llm.queries import DEMO_KEY
+from ledgerloom.llm.rows import unwrapped, wrapped
 from ledgerloom.storage import remove, scratch_scope, written
 
 #: Scratch tables by application and sf_dir, then by stage.
@@ -55,9 +56,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     All columns stay as they are, whatever their names.
     """
-    wrapped = docs.select("text", "lang", "source", F.struct("*").alias("row"))
-    measured = written(quality.with_statistics(wrapped).drop("text"), "measured")
-    return quality.judged(measured).filter("kept").select("row.*")
+    names = ("text", "lang", "source")
+    measured = written(quality.with_statistics(wrapped(docs, *names)), "measured")
+    return quality.judged(measured).filter("kept").select(*unwrapped(docs.columns, *names))
 
 
 @_stage(1)
@@ -72,14 +73,15 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     NULLs, ties, repeated rows and empty tables as :func:`substrings.remove_repeats` has them.
     """
-    cut = substrings.remove_repeats(docs.select("doc_id", "text", F.struct("*").alias("row")))
-    return _with_text(cut, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), docs.columns)
+    cut = substrings.remove_repeats(wrapped(docs, "doc_id", "text"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return cut.select(*_with_text(text, docs.columns, "doc_id"))
 
 
 @_stage(3)
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for private data, see :func:`pii.replace`."""
-    return _with_text(pii.replace(docs.select("text", F.struct("*").alias("row")), DEMO_KEY), F.col("text"), docs.columns)
+    return pii.replace(wrapped(docs, "text"), DEMO_KEY).select(*_with_text(F.col("text"), docs.columns))
 
 
 @_stage(4)
@@ -88,10 +90,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _with_text(rows: DataFrame, text: Column, columns: list[str]) -> DataFrame:
-    """The columns of ``row`` with the new text, and with n_chars after it."""
-    made = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return rows.select(*(made.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+def _with_text(text: Column, columns: list[str], *names: str) -> list[Column]:
+    """The columns with the new text, and with n_chars after it."""
+    return unwrapped(columns, *names, made={"text": text, "n_chars": F.char_length(text).cast("long")})
 
 
 STAGES = [
