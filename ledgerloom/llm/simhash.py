@@ -45,7 +45,7 @@ LARGEST = 1024
 LEVELS = 4
 
 #: Five-word shingles, and the 64-bit words of a wide fingerprint and of a parity map of them.
-WIDE_SHINGLE, WIDE_WORDS, PARITY_WORDS = 5, 4, 8
+WIDE_SHINGLE, WIDE_WORDS, PARITY_WORDS = 5, 4, 4
 #: Shingles that more sets have are moved to the end of the order, in so many rounds at most.
 HOT, COOLED = 16_384, 3
 SIMILARITY = 0.8
@@ -295,9 +295,9 @@ def forest(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> np.ndarr
 
 def _per_bucket(
     bucketed: DataFrame, keys: list[str], name: str, solve: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]],
-    rows_at_once: int,
+    rows_at_once: int, schema: str = "a long, b long",
 ) -> DataFrame:
-    """(a, b) of ``solve(rows, bucket)``, which gets whole buckets of two rows and more, many at once."""
+    """What ``solve(rows, bucket)`` makes, which gets whole buckets of two rows and more, many at once."""
     dealt = bucketed.repartition(*keys).sortWithinPartitions(*keys, name)
 
     def whole(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -328,7 +328,7 @@ def _per_bucket(
         if held:
             yield from whole(pd.concat(held, ignore_index=True))
 
-    return dealt.mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(run, schema)
 
 
 def links(bucketed: DataFrame, rows_at_once: int = 50_000) -> DataFrame:
@@ -409,10 +409,14 @@ def _sets(texts: DataFrame) -> DataFrame:
     return _with_digest(texts, "shingles", "array<bigint>", digest).drop("text")
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """The entries (key, id, n) whose key more than one has; k tells how many. A hot key is counted on every side first."""
-    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    return written(entries.join(counts, "key"), "shared")
+def _shared(entries: DataFrame, similarity: Fraction) -> DataFrame:
+    """The entries (key, id, n) whose key more than one has; k tells how many. A hot key is counted on every side first.
+
+    Two sets alone are left out where their sizes differ too much for the similarity.
+    """
+    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
+    counts = counts.filter(f"k > 2 or k = 2 and {similarity.denominator} * low >= {similarity.numerator} * high")
+    return written(entries.join(counts.select("key", "k"), "key"), "shared")
 
 
 def _cooled(entries: DataFrame, texts: DataFrame, similarity: Fraction, hot_from: int) -> DataFrame:
@@ -424,7 +428,7 @@ def _cooled(entries: DataFrame, texts: DataFrame, similarity: Fraction, hot_from
     ones, for at most COOLED rounds; blocks hold what stays.
     """
     many, t = F.col("k") > hot_from, similarity
-    shared = _shared(entries)
+    shared = _shared(entries, t)
     hot = written(shared.filter(many).select("key").distinct(), "hot")
     length = F.expr(f"n - ({t.numerator} * n + {t.denominator - 1}) div {t.denominator} + 1")
     order = Window.partitionBy("id").orderBy(F.coalesce("late", F.lit(False)), "key")
@@ -443,7 +447,7 @@ def _cooled(entries: DataFrame, texts: DataFrame, similarity: Fraction, hot_from
         ids, whole = touched(hot)
         whole = whole.join(hot.withColumn("late", F.lit(True)), "key", "left")
         drawn = whole.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= length)
-        shared = _shared(entries.join(ids, "id", "left_anti").unionByName(drawn.select("id", "n", "key")))
+        shared = _shared(entries.join(ids, "id", "left_anti").unionByName(drawn.select("id", "n", "key")), t)
         more = written(shared.filter(many).select("key").distinct().join(hot, "key", "left_anti"), "hot")
         if more.isEmpty():
             break
@@ -478,7 +482,7 @@ def _spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) ->
 
 
 def _candidates(met: DataFrame, similarity: Fraction, forest_only: bool, rows_at_once: int = 20_000) -> DataFrame:
-    """(a, b) of one bucket and of different roots that may be similar enough; or a forest of nearest ones of them.
+    """(key, p, q, a, b) of one bucket and of different roots that may be similar enough; or a forest of nearest ones of them.
 
     ``met`` is (key, p, q, side, id, root, n, fp, odd). What is left out lies
     beyond the radius of the fingerprints, or its sizes or parity maps differ
@@ -502,9 +506,10 @@ def _candidates(met: DataFrame, similarity: Fraction, forest_only: bool, rows_at
             if forest_only:
                 i, j = _spanning(label, i, j, np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64))
             if len(i):
-                yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+                at = {c: pdf[c].to_numpy()[i] for c in BUCKET}
+                yield pd.DataFrame({**at, "a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
-    return _per_bucket(met, BUCKET, "id", solve, rows_at_once).distinct()
+    return _per_bucket(met, BUCKET, "id", solve, rows_at_once, "key long, p long, q long, a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
@@ -531,14 +536,21 @@ def similar_links(
     joined, so a large group of near copies does not bring all its pairs.
     """
     t = Fraction(str(similarity))
-    entries = sketches.select("id", "n", F.explode("prefix").alias("key"))
+    entries = sketches.select("id", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
     shared = _cooled(entries, texts, t, hot_from)
-    met = _dealt(shared, largest).join(sketches.select("id", "n", "fp", "odd"), "id")
-    nearest = written(_candidates(met.withColumn("root", F.col("id")), t, True), "pairs")
+    marks = sketches.select("id", "n", "fp", "odd")
+    dealt = _dealt(shared, largest)
+    trees = written(_candidates(dealt.join(marks, "id").withColumn("root", F.col("id")), t, True), "trees")
+    nearest = written(trees.select("a", "b").distinct(), "pairs")
     linked = written(_verified(nearest, texts, t), "links")
     roots = connected_components(linked)
-    rooted = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rest = written(_candidates(rooted, t, False).join(nearest, ["a", "b"], "left_anti"), "pairs")
+    # a bucket whose tree the links hold together has no more to say
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    ends = trees.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    open_ = ends.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select(*BUCKET).distinct()
+    rooted = dealt.join(open_, BUCKET, "left_semi").join(marks, "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    more = _candidates(rooted.withColumn("root", F.coalesce("root", "id")), t, False).select("a", "b").distinct()
+    rest = written(more.join(nearest, ["a", "b"], "left_anti"), "pairs")
     ties = roots.filter("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b"))
     return ties.unionByName(_verified(rest, texts, t))
 
