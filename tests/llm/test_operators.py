@@ -2,6 +2,7 @@ import base64
 import hashlib
 import zlib
 from fractions import Fraction
+from itertools import combinations_with_replacement
 
 import numpy as np
 import public_tokenizers as P
@@ -61,17 +62,38 @@ def test_sharding(docs, rows):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def best_capacity(sizes, held):
+    """The least greatest shard of all contiguous partitions of the order, by trying every one."""
+    best = sum(sizes) + sum(held)
+    for ends in combinations_with_replacement(range(len(sizes) + 1), len(held) - 1):
+        cuts = [0, *ends, len(sizes)]
+        best = min(best, max(h + sum(sizes[a:b]) for h, a, b in zip(held, cuts, cuts[1:])))
+    return best
+
+
 def test_smallest_capacity():
     rng = np.random.default_rng(2)
-    for _ in range(40):
-        sizes = sorted(rng.integers(1, 30, rng.integers(1, 40)).tolist(), reverse=True)
-        runs = [(s, sizes.count(s)) for s in set(sizes)]
-        order, k = sharding.Order(runs), int(rng.integers(1, 8))
-        cuts = sharding.cut(order, k)
-        parts = [sum(p) for p in np.split(np.array(sizes), cuts)]
-        assert len(parts) <= k and min(parts) > 0
-        feasible = next(c for c in range(max(sizes), sum(sizes) + 1) if order.greedy(0, c, k))
-        assert max(parts) <= feasible
+    for _ in range(150):
+        sizes = sorted(rng.integers(1, 30, rng.integers(1, 14)).tolist(), reverse=True)
+        held = rng.integers(0, 40, rng.integers(1, 5)).tolist()
+        order = sharding.Order([(s, sizes.count(s), s * sizes.count(s)) for s in set(sizes)])
+        cuts = [0, *sharding.cut(order, held), len(sizes)]
+        assert max(h + sum(sizes[a:b]) for h, a, b in zip(held, cuts, cuts[1:])) == best_capacity(sizes, held)
+
+
+@pytest.mark.parametrize("sf, spread", [("0.01", 0.01), ("0.1", 0.01)])
+def test_shards_are_near_equal(spark, sf, spread):
+    table = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    got = sharding.shard(table).groupBy("shard").agg(F.sum("size").alias("n")).toPandas()["n"]
+    assert len(got) == 40 and got.max() - got.min() < spread * got.mean()
+
+
+def test_shards_around_a_giant(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, "x" * 500_000), (1, None)] + [(2 + i, "y" * int(n)) for i, n in enumerate(rng.integers(1, 5000, 600))]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).groupBy("shard").agg(F.sum("size").alias("n")).toPandas()["n"]
+    rest = sorted(got)[:-1]
+    assert len(got) == 8 and max(got) == 500_016 and rest[-1] - rest[0] < 0.02 * np.mean(rest)
 
 
 def test_warc(spark):
