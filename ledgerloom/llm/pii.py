@@ -3,17 +3,21 @@
 Detected entities get keyed replacements of the same type and format. Digits,
 hexadecimal digits and letters go through a keyed permutation of all strings
 of one format, so different entities of a format stay different and one entity
-is the same surrogate everywhere, without any table. Names come from syllables
-of their script, with a given name of the gender that the form of address
-shows. A check over the whole corpus then finds surrogates that two entities
-share or that are real entities themselves, and draws those again.
+is the same surrogate everywhere, without any table. A person's given and
+family name are entities of their own, so that full, short and titled forms
+agree; both become syllables of their script, the given name with an ending of
+its gender. A check over the whole corpus then finds surrogates that two
+entities share or that are real entities themselves, and draws those again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -26,25 +30,35 @@ from .rows import unwrapped, wrapped
 from .words import sliced
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
-#: Forms of address by gender, and given names by gender and script.
+#: Lower-case and capital letters of Latin-1 beyond ASCII.
+LOWER_MORE, UPPER_MORE = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+#: Forms of address by gender.
 ADDRESS = {
     "f": ("Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra.", "г-жа"),
     "m": ("Mr.", "Mr", "Herr", "Monsieur", "Señor", "Sr.", "г-н"),
     "x": ("Dr.", "Dr", "Prof.", "Prof"),
 }
+#: Frequent given names by gender; one before a capitalised word is a person without a form of address.
 GIVEN = {
-    ("f", "latin"): ("Anna", "Clara", "Elena", "Ida", "Laura", "Maria", "Nora", "Vera"),
-    ("m", "latin"): ("Albert", "Bruno", "Daniel", "Felix", "Hugo", "Martin", "Oscar", "Paul"),
-    ("x", "latin"): ("Alex", "Kim", "Jona", "Luca", "Noa", "Robin", "Sam", "Toni"),
-    ("f", "cyrillic"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Юлия"),
-    ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Иван", "Максим", "Олег", "Павел", "Юрий"),
-    ("x", "cyrillic"): ("Женя", "Саша", "Валя", "Слава", "Паша", "Тоня", "Вася", "Саня"),
+    "f": """Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Margaret Sandra Ashley
+    Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Helen Sharon Cynthia Kathleen Amy
+    Jane Anna Maria Ursula Monika Petra Sabine Renate Claudia Birgit Ingrid Erika Brigitte Heike Nathalie Isabelle
+    Sylvie Catherine Martine Françoise Carmen Josefa Isabel Dolores Pilar Ольга Елена Наталья Татьяна Ирина Светлана""".split(),
+    "m": """James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven
+    Paul Andrew Joshua Kenneth Kevin Brian George Edward Ronald Timothy Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan
+    Stephen Peter Wolfgang Klaus Jürgen Dieter Manfred Helmut Hans Günter Heinz Werner Philippe Alain Bernard Thierry
+    Antonio José Manuel Francisco Carlos Александр Сергей Дмитрий Алексей Андрей Иван""".split(),
 }
+GENDER = {name: g for g, names in GIVEN.items() for name in names}
+#: Consonants and vowels of the syllables, and the endings of given names by gender.
 SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
+ENDINGS = {"latin": {"f": "a", "m": "o", "x": "i"}, "cyrillic": {"f": "а", "m": "", "x": "о"}}
 ADDRESSED = {a: g for g, names in ADDRESS.items() for a in names}
 _TITLES = "|".join(re.escape(a) for a in sorted(ADDRESSED, key=len, reverse=True))
+_GIVEN = "|".join(sorted(GENDER, key=len, reverse=True))
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
-_NAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-яё]+"
+_NAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-яё]+(?:[-'’][A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-яё]+)?"
+_MIDDLE = r"(?:[A-ZА-Я]\. )?"
 #: National phone numbers: ddd-ddd-dddd with dashes, dots or spaces, and 9 to 12 grouped digits from 0.
 _ENDS = r"(?![\w/]|[.-]?[0-9])"
 _TEN = [rf"(?:1{s})?{a}{s}[0-9]{{3}}{s}[0-9]{{4}}" for s, a in (("-", "[0-9]{3}"), (r"\.", "[0-9]{3}"), (" ", "[2-9][0-9]{2}"))]
@@ -53,22 +67,28 @@ _ZERO = [
 ]
 _AREA = [r"\(0[1-9][0-9]{0,4}\) ?[0-9]{3,5}[ -]?[0-9]{3,5}", r"0[1-9][0-9]{1,4} ?/ ?[0-9]{3,5}[ -]?[0-9]{2,5}"]
 _NATIONAL = rf"(?<![\w.+/-])(?:{'|'.join(_TEN + _ZERO + _AREA)}){_ENDS}|(?<!\w)\([0-9]{{3}}\) ?[0-9]{{3}}[. -][0-9]{{4}}{_ENDS}"
+_H = "[0-9A-Fa-f]{1,4}"
 #: Kind and pattern, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9À-ÿ][\w.+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b\s*[:=]\s*[\"']?)[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b\s*[:=]\s*[\"']?)"
+    r"(?:[A-Za-z0-9+/_-]{8,}|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{6,7}(?![A-Za-z0-9+/_-]))",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ip6": rf"(?<![\w:.])(?:(?:{_H}:){{7}}{_H}|(?:{_H}(?::{_H}){{0,6}})?::(?:{_H}(?::{_H}){{0,6}})?)(?![\w:])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}\b|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b|" + _NATIONAL,
     "ssn": SSN,
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?!\.?[0-9])",
     "card": r"(?<![0-9-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9-])"
     r"|(?<![0-9-])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9-])",
-    "name": rf"(?<!\w)(?:{_TITLES}) (?:{_NAME} )?{_NAME}",
+    "name": rf"(?<!\w)(?:{_TITLES}) (?:{_NAME} {_MIDDLE})?{_NAME}|(?<!\w)(?:{_GIVEN}) {_MIDDLE}{_NAME}",
 }
 FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
-#: Every entity holds a digit or an @, or begins with a form of address; other lines are not searched.
-SIGN = re.compile("[0-9@]")
+#: Every entity holds a digit, an @ or two colons, a form of address or a given name; other lines are not searched.
+SIGN = re.compile("[0-9@]|::")
 TITLES = tuple(a + " " for a in ADDRESSED)
+NAMED = re.compile(rf"(?<!\w)(?:{_GIVEN}) [A-ZÀ-ÖØ-ÞА-Я]")
+TITLED = re.compile(rf"(?:(?P<title>{_TITLES}) )?(?:(?P<given>{_NAME}) (?P<middle>{_MIDDLE}))?(?P<family>{_NAME})")
 SECRET = re.compile(r"^(.*?[:=]\s*[\"']?)(.*)$", re.S)
 ROUNDS = 8
 #: With so many redrawn entities or fewer they are sent to every worker; with more they are joined.
@@ -96,7 +116,7 @@ def _classes(text: str, hexadecimal: bool = False) -> list[str | None]:
     """The alphabet of each character, None where it stays."""
     if hexadecimal:
         return [HEX if c in HEX else None for c in text]
-    return [next((a for a in (DIGITS, LOWER, UPPER) if c in a), None) for c in text]
+    return [next((a for a in (DIGITS, LOWER, UPPER, LOWER_MORE, UPPER_MORE) if c in a), None) for c in text]
 
 
 def _same_format(text: str, key: bytes, tweak: str, classes: list[str | None]) -> str:
@@ -118,38 +138,134 @@ def _luhn(digits: str) -> int:
     return total % 10
 
 
+def _remainder(iban: str) -> int:
+    """The number of an account number with letters as 10 to 35 and its head at the end, modulo 97; 1 where it is right."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def _private(m: re.Match) -> bool:
-    """False for plain runs of 13 digits, such as times and article numbers, that no issuer gives out: 4 and Luhn."""
+    """False for what only looks like an entity.
+
+    Plain runs of 13 digits that no issuer gives out, such as times and
+    article numbers: 4 and Luhn; account numbers with wrong check digits; and
+    colons that make no address.
+    """
     found = m[0]
+    if m.lastgroup == "iban":
+        return 15 <= len(found.replace(" ", "")) <= 34 and _remainder(found.replace(" ", "")) == 1
+    if m.lastgroup == "ip6":
+        try:
+            return len(ipaddress.IPv6Address(found).compressed) > 4 and found.count(":") > 2
+        except ValueError:
+            return False
     return m.lastgroup != "card" or len(found) != 13 or not found.isdigit() or (found[0] == "4" and not _luhn(found))
 
 
 def _may_hold(text: str) -> bool:
-    return SIGN.search(text) is not None or any(t in text for t in TITLES)
+    return SIGN.search(text) is not None or any(t in text for t in TITLES) or NAMED.search(text) is not None
+
+
+class Mention(NamedTuple):
+    """A place in a text, and the normal form of the entity that stands there."""
 
+    start: int
+    end: int
+    kind: str
+    found: str
+    entity: str
 
-def mentions(text: str | None) -> Iterator[re.Match]:
-    """The entities of a text; none reaches across a line end."""
-    if text and _may_hold(text):
-        for line in text.split("\n"):
-            if _may_hold(line):
-                yield from filter(_private, FIND.finditer(line))
+
+def _script(name: str) -> str:
+    return "cyrillic" if re.search("[А-я]", name) else "latin"
+
+
+@lru_cache(1024)
+def _bare(families: frozenset[str]) -> re.Pattern:
+    names = "|".join(re.escape(f) for f in sorted(families, key=lambda f: (-len(f), f)))
+    return re.compile(rf"(?<![\w@.-])(?:(?P<given>{_NAME}) (?P<middle>{_MIDDLE}))?(?P<family>{names})(?![\w@]|-[A-Za-z])")
+
+
+def mentions(text: str | None) -> list[Mention]:
+    """The entities of a text in their order; none reaches across a line end.
+
+    A family name that a person has somewhere in the text is found again on
+    its own or behind a given name. A given name has the gender that any form
+    of address in the text gives it, else that of the list.
+    """
+    if not text or not _may_hold(text):
+        return []
+    plain, names, at = [], [], 0
+    for line in text.split("\n"):
+        if _may_hold(line):
+            for m in FIND.finditer(line):
+                if m.lastgroup == "name":
+                    names.append((at + m.start(), TITLED.fullmatch(m[0])))
+                elif _private(m):
+                    plain.append(Mention(at + m.start(), at + m.end(), m.lastgroup, m[0], normal(m.lastgroup, m[0])))
+        at += len(line) + 1
+    if not names:
+        return plain
+    gender: dict[str, str] = {}
+    for _, m in names:
+        if m["given"]:
+            known = ADDRESSED.get(m["title"], "x")
+            known = GENDER.get(m["given"], "x") if known == "x" else known
+            if gender.get(m["given"], "x") == "x":
+                gender[m["given"]] = known
+    spans = sorted([(x.start, x.end) for x in plain] + [(s, s + m.end()) for s, m in names])
+    families, again, k = frozenset(m["family"] for _, m in names if len(m["family"]) > 2), [], 0
+    if families:
+        for m in _bare(families).finditer(text):
+            while k < len(spans) and spans[k][1] <= m.start("family"):
+                k += 1
+            if k == len(spans) or spans[k][0] >= m.end():
+                again.append((m, m["given"] if m["given"] and (m["given"] in gender or m["given"] in GENDER) else None))
+
+    def parts(m: re.Match, start: int, given: str | None) -> Iterator[Mention]:
+        if given:
+            g = gender.get(given) or GENDER[given]
+            yield Mention(start + m.start("given"), start + m.end("given"), "given", given, f"{g}|{_script(given)}|{given}")
+        f = m["family"]
+        yield Mention(start + m.start("family"), start + m.end("family"), "family", f, f"{_script(f)}|{f}")
+
+    out = plain + [x for s, m in names for x in parts(m, s, m["given"])] + [x for m, g in again for x in parts(m, 0, g)]
+    return sorted(out)
 
 
 def normal(kind: str, found: str) -> str:
     """What two mentions of one entity have in common."""
-    if kind == "email":
+    if kind in ("email", "ip6"):
         return found.lower()
     if kind in ("phone", "card", "ssn"):
-        return ("+" if found.startswith("+") else "") + re.sub("[^0-9]", "", found)
+        digits = re.sub("[^0-9]", "", found)
+        if kind == "phone" and not found.startswith("+"):  # a national number of North America, with its country code
+            if len(digits) == 10 and digits[0] != "0":
+                return "+1" + digits
+            if len(digits) == 11 and digits[0] == "1":
+                return "+" + digits
+        return ("+" if found.startswith("+") else "") + digits
+    if kind == "iban":
+        return found.replace(" ", "")
     if kind == "secret":
         return SECRET.match(found)[2]
-    if kind == "name":
-        title = next(a for a in sorted(ADDRESSED, key=len, reverse=True) if found.startswith(a + " "))
-        return f"{ADDRESSED[title]}|{found[len(title) + 1 :]}"
     return found
 
 
+def _drawn_name(entity: str, key: bytes, tweak: str, syllables: int) -> str:
+    """Syllables of the entity's script, with the ending of its gender if it has one."""
+    *gender, script, _ = entity.split("|")
+    h = int.from_bytes(hashlib.blake2b(f"{tweak}|{entity}".encode(), key=key, digest_size=32).digest(), "big")
+    consonants, vowels = SYLLABLES[script]
+    name = ""
+    for _ in range(syllables):
+        h, c = divmod(h, len(consonants))
+        h, v = divmod(h, len(vowels))
+        name += consonants[c] + vowels[v]
+    if gender:
+        name += consonants[h % len(consonants)] + ENDINGS[script][gender[0]]
+    return name.capitalize()
+
+
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of a normal form, itself a normal form of the kind."""
     tweak = f"{kind}|{attempt}"
@@ -180,35 +296,32 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         body = entity[4:]
         drawn = _permuted([(DIGITS + UPPER).index(c) for c in body], [36] * len(body), key, tweak)
         return entity[:4] + "".join((DIGITS + UPPER)[i] for i in drawn)
-    if kind == "name":
-        gender, _, name = entity.partition("|")
-        script = "cyrillic" if re.search("[А-я]", name) else "latin"
-        h = int.from_bytes(hashlib.blake2b(f"{tweak}|{entity}".encode(), key=key, digest_size=16).digest(), "big")
-        given = GIVEN[gender, script][h % 8]
-        h >>= 3
-        consonants, vowels = SYLLABLES[script]
-        family = ""
-        for _ in range(5):
-            h, c = divmod(h, len(consonants))
-            h, v = divmod(h, len(vowels))
-            family += consonants[c] + vowels[v]
-        return f"{gender}|{given + ' ' if ' ' in name else ''}{family.capitalize()}"
+    if kind in ("given", "family"):  # longer ones where short ones run out
+        return entity.rpartition("|")[0] + "|" + _drawn_name(entity, key, tweak, (2 if kind == "given" else 4) + attempt // 2)
+    if kind == "iban":
+        body = _same_format(entity[4:], key, tweak, _classes(entity[4:]))
+        return entity[:2] + f"{98 - _remainder(entity[:2] + '00' + body):02}" + body
+    if kind == "ip6":
+        return _same_format(entity, key, tweak, _classes(entity, True))
     return _same_format(entity, key, tweak, _classes(entity, all(c in HEX for c in entity)))
 
 
 def shown(kind: str, found: str, new: str) -> str:
-    """The surrogate in the dress of the mention: its separators, its case, its form of address."""
-    if kind == "email" and found == found.upper():
-        return new.upper()
+    """The surrogate in the dress of the mention: its separators and its case."""
+    if kind == "email":
+        return "".join(y.upper() if x.isupper() and len(y.upper()) == 1 else y for x, y in zip(found, new))
+    if kind == "ip6":
+        return new.upper() if found == found.upper() else new
     if kind in ("phone", "card", "ssn"):
-        digits = iter(new.lstrip("+"))
+        n = sum(c in DIGITS for c in found)
+        digits = iter(new.lstrip("+")[-n:])
         return "".join(next(digits) if c in DIGITS else c for c in found)
+    if kind == "iban":
+        rest = iter(new)
+        return "".join(c if c == " " else next(rest) for c in found)
     if kind == "secret":
         return SECRET.match(found)[1] + new
-    if kind == "name":
-        title = next(a for a in sorted(ADDRESSED, key=len, reverse=True) if found.startswith(a + " "))
-        return f"{title} {new.partition('|')[2]}"
-    return new
+    return new.rpartition("|")[2] if kind in ("given", "family") else new
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -219,7 +332,7 @@ def entities(docs: DataFrame) -> DataFrame:
             seen = set()
             for part in sliced(batch, "text"):
                 for t in part.column("text").to_pylist():
-                    seen.update((m.lastgroup, normal(m.lastgroup, m[0])) for m in mentions(t))
+                    seen.update((m.kind, m.entity) for m in mentions(t))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*seen)], ["kind", "entity"])
 
@@ -280,19 +393,14 @@ def replace(docs: DataFrame, key: bytes, sent_to_all: int = SENT_TO_ALL) -> Data
 
 
 def _rewrite(text: str | None, key: bytes, attempts: dict) -> tuple[str | None, int]:
-    if not text or not _may_hold(text):
+    found = mentions(text)
+    if not found:
         return text, 0
-    n = 0
-
-    def one(m: re.Match) -> str:
-        nonlocal n
-        if not _private(m):
-            return m[0]
-        n += 1
-        kind, entity = m.lastgroup, normal(m.lastgroup, m[0])
-        return shown(kind, m[0], surrogate(kind, entity, key, attempts.get((kind, entity), 0)))
-
-    return "\n".join(FIND.sub(one, x) if _may_hold(x) else x for x in text.split("\n")), n
+    out, at = [], 0
+    for m in found:
+        out += [text[at : m.start], shown(m.kind, m.found, surrogate(m.kind, m.entity, key, attempts.get((m.kind, m.entity), 0)))]
+        at = m.end
+    return "".join([*out, text[at:]]), len(found)
 
 
 def _applied(rows: DataFrame, key: bytes, table: dict) -> DataFrame:
@@ -320,7 +428,7 @@ def _joined(base: DataFrame, key: bytes, again: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for d, t in zip(batch.column("_text").to_pylist(), batch.column("text").to_pylist()):
-                out += {(d, m.lastgroup, normal(m.lastgroup, m[0])) for m in mentions(t)}
+                out += {(d, m.kind, m.entity) for m in mentions(t)}
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["_text", "kind", "entity"])
 
