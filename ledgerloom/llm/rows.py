@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: So many ids or fewer, 16 MB of long integers, are sent to every worker; more are joined by a shuffle.
+SENT_TO_ALL = 1_000_000
+
+
+def sent(ids: DataFrame, most: int = SENT_TO_ALL) -> DataFrame:
+    """A written table of ids for a semi or anti join with long rows, which need not move if the ids are few."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def wrapped(docs: DataFrame, *names: str, without: tuple[str, ...] = ()) -> DataFrame:
     """The named columns, and as one struct ``row`` all others but ``without``; no name of theirs meets another then."""
     apart = {c.lower() for c in (*names, *without)}

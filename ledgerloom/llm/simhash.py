@@ -34,7 +34,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 from ..operators.components import connected_components
 from ..storage import written
-from .rows import unwrapped, wrapped
+from .rows import sent, unwrapped, wrapped
 from .words import sliced, words
 
 RADIUS = 3
@@ -436,7 +436,7 @@ def _cooled(entries: DataFrame, texts: DataFrame, similarity: Fraction, hot_from
     def touched(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The ids with a hot key in their prefix, and all of their shingles."""
         ids = written(entries.join(hot, "key", "left_semi").select("id").distinct(), "ids")
-        sets = written(_sets(texts.join(ids, "id", "left_semi")), "sets")
+        sets = written(_sets(texts.join(sent(ids), "id", "left_semi")), "sets")
         return ids, sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
 
     for _ in range(COOLED):
@@ -512,11 +512,9 @@ def _candidates(met: DataFrame, similarity: Fraction, forest_only: bool, rows_at
     return _per_bucket(met, BUCKET, "id", solve, rows_at_once, "key long, p long, q long, a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
     """The pairs whose whole sets have at least this Jaccard similarity."""
     own, both = similarity.numerator, similarity.numerator + similarity.denominator
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(_sets(texts.join(ids, "id", "left_semi")), "sets")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"of_{side}")), side)
     common = "cast(size(array_intersect(of_a, of_b)) as long)"
@@ -542,7 +540,10 @@ def similar_links(
     dealt = _dealt(shared, largest)
     trees = written(_candidates(dealt.join(marks, "id").withColumn("root", F.col("id")), t, True), "trees")
     nearest = written(trees.select("a", "b").distinct(), "pairs")
-    linked = written(_verified(nearest, texts, t), "links")
+    # whatever has a neighbour has one in a tree
+    ids = written(nearest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = written(_sets(texts.join(sent(ids), "id", "left_semi")), "sets")
+    linked = written(_verified(nearest, sets, t), "links")
     roots = connected_components(linked)
     # a bucket whose tree the links hold together has no more to say
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
@@ -552,7 +553,7 @@ def similar_links(
     more = _candidates(rooted.withColumn("root", F.coalesce("root", "id")), t, False).select("a", "b").distinct()
     rest = written(more.join(nearest, ["a", "b"], "left_anti"), "pairs")
     ties = roots.filter("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    return ties.unionByName(_verified(rest, texts, t))
+    return ties.unionByName(_verified(rest, sets, t))
 
 
 def sketched(docs: DataFrame, similarity: Fraction, out: str) -> DataFrame:
@@ -597,7 +598,8 @@ def similar_representatives(
     roots = connected_components(linked).withColumnRenamed("node", "id")
     rooted = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     chosen = rooted.groupBy("root").agg(F.min("least")["row"].alias("id")).select("id")
-    return marked.join(chosen, "id", "left_semi").select(*unwrapped(docs.columns, "doc_id", "text"))
+    dropped = written(marked.select("id").join(chosen, "id", "left_anti"), "dropped")
+    return marked.join(sent(dropped), "id", "left_anti").select(*unwrapped(docs.columns, "doc_id", "text"))
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
