@@ -36,11 +36,14 @@ def throwaway_payers(ledger: DataFrame) -> DataFrame:
     )
 
 
-def apply_funding(ledger: DataFrame, cfg: FundingConfig, seed: int = 1, start: int = 0) -> DataFrame:
+def apply_funding(ledger: DataFrame, cfg: FundingConfig, seed: int = 1, hubs: DataFrame | None = None) -> DataFrame:
     """Append one top-up per throwaway payer; all earlier records stay as they are.
 
-    Choices are drawn from a keyed hash of the payer, so they do not depend on
-    the partitioning.
+    Each top-up lies a drawn lead before the payer's first use. An operator's
+    hub is its account in ``hubs`` (operator, hub), else the source of its
+    first record. Relayers serve many operators, so their top-ups carry no
+    operator. Choices are drawn from a keyed hash of the payer, so they do not
+    depend on the partitioning.
     """
     if cfg.policy not in POLICIES:
         raise ValueError(f"unknown funding policy {cfg.policy!r}")
@@ -49,24 +52,26 @@ def apply_funding(ledger: DataFrame, cfg: FundingConfig, seed: int = 1, start: i
     draw = lambda what, n: F.pmod(F.xxhash64(F.lit(f"{seed}:{what}"), *(
         [F.col("fee_payer")] if what != "relayer" or not cfg.sticky else [F.col("operator")]
     )), F.lit(n))
-    funder = {
-        "operator_hub": F.concat(F.lit("hub_"), F.col("operator")),
-        "dedicated": F.concat(F.lit("funder_"), F.col("operator")),
-        "shared_relayers": F.concat(F.lit("relayer_"), draw("relayer", max(cfg.relayers, 1))),
-    }[cfg.policy]
-    lead = cfg.lead_min_secs + draw("lead", cfg.lead_max_secs - cfg.lead_min_secs + 1)
-    topups = (
-        throwaway_payers(ledger)
-        .filter("operator is not null")
-        .select(
-            F.greatest(F.col("ts") - lead, F.lit(start)).alias("ts"),
-            F.sha2(funder, 256).alias("source"),
-            F.col("fee_payer").alias("dest"),
-            (cfg.topup_min + draw("amount", cfg.topup_max - cfg.topup_min + 1)).cast("long").alias("amount"),
-            F.lit("transfer").alias("kind"),
-            "operator",
-        )
-    )
+    shared = cfg.policy == "shared_relayers"
+    payers = throwaway_payers(ledger).filter("operator is not null")
+    if cfg.policy == "operator_hub":
+        if hubs is None:
+            acting = ledger.filter("operator is not null")
+            hubs = acting.groupBy("operator").agg(F.min_by("source", "pos").alias("hub"))
+        payers, funder = payers.join(hubs, "operator"), F.col("hub")
+    elif shared:
+        funder = F.sha2(F.concat(F.lit(f"{seed}:relayer:"), draw("relayer", max(cfg.relayers, 1))), 256)
+    else:
+        funder = F.sha2(F.concat(F.lit(f"{seed}:funder:"), F.col("operator")), 256)
+    lead = cfg.lead_min_secs + draw("lead", max(cfg.lead_max_secs - cfg.lead_min_secs, 0) + 1)
+    topups = payers.select(
+        (F.col("ts") - lead).alias("ts"),
+        funder.alias("source"),
+        F.col("fee_payer").alias("dest"),
+        (cfg.topup_min + draw("amount", max(cfg.topup_max - cfg.topup_min, 0) + 1)).cast("long").alias("amount"),
+        F.lit("transfer").alias("kind"),
+        (F.lit(None) if shared else F.col("operator")).cast(ledger.schema["operator"].dataType).alias("operator"),
+    ).filter("source <> dest")
     last = ledger.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(f"_{c}") for c in ("sig", "slot", "pos")))
     numbered = with_position(topups, "ts", ["dest"], "_i").join(F.broadcast(last))
     suffix = numbered.select(

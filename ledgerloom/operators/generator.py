@@ -8,7 +8,7 @@ scan over days.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -46,13 +46,15 @@ class GenConfig:
     funding: FundingConfig = field(default_factory=FundingConfig)
 
     def validate(self) -> GenConfig:
+        """The checked configuration with names in lower case, as every later step compares them."""
         if min(self.agents, self.days, self.externals) <= 0:
             raise ValueError("agents, days and externals must be positive")
         if self.start + self.days * DAY >= 2**62:
             raise ValueError("days overflow")
-        if self.mode.lower() not in MODES or self.hardening.rebalance.lower() not in REBALANCE:
+        plain = replace(self, mode=self.mode.lower(), hardening=replace(self.hardening, rebalance=self.hardening.rebalance.lower()))
+        if plain.mode not in MODES or plain.hardening.rebalance not in REBALANCE:
             raise ValueError("unknown mode or rebalance strategy")
-        return self
+        return plain
 
 
 def account(*what) -> str:
@@ -214,7 +216,7 @@ def _clock(records: DataFrame) -> DataFrame:
 
 def generate(spark: SparkSession, personas: list[Persona], cfg: GenConfig) -> DataFrame:
     """A labelled ledger; the same seed gives the same rows however it is partitioned."""
-    cfg.validate()
+    cfg = cfg.validate()
     profiles = [p.validate() for p in personas]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -233,11 +235,10 @@ def generate(spark: SparkSession, personas: list[Persona], cfg: GenConfig) -> Da
     )
     if cfg.mode == "naive":
         return ledger
-    return apply_funding(ledger, cfg.funding, cfg.seed, cfg.start)
+    hub = F.sha2(F.concat(F.lit(f"{cfg.seed}:sub:"), F.col("operator"), F.lit(":0")), 256)  # each agent's first account
+    return apply_funding(ledger, cfg.funding, cfg.seed, agents.select("operator", hub.alias("hub")))
 
 
 def run_comparison(spark: SparkSession, personas: list[Persona], cfg: GenConfig) -> tuple[DataFrame, DataFrame]:
     """The same seed in naive and hardened form."""
-    from dataclasses import replace
-
     return generate(spark, personas, replace(cfg, mode="naive")), generate(spark, personas, replace(cfg, mode="cooker"))

@@ -16,6 +16,7 @@ from ..storage import written
 from .accounts import accounts, ownership, public
 from .clusters import close
 from .features import FEATURES, pair_features
+from .metrics import evaluate
 
 
 def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
@@ -125,8 +126,9 @@ def cross_validate(pairs: DataFrame, k: int, cfg: LearnConfig) -> DataFrame:
 def learned_attribution(labelled: DataFrame, cfg: LearnConfig | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(clusters, one-row report, (feature, weight, auc)).
 
-    With too few operators or positive pairs no model is fitted: the AUC is
-    NaN, nothing is linked and the weights are NULL.
+    The report holds the AUC, the folds and the scores of the clusters, as the
+    rules' clusters are scored. With too few operators or positive pairs no
+    model is fitted: the AUC is NaN, nothing is linked and the weights are NULL.
     """
     cfg = cfg or LearnConfig()
     spark = labelled.sparkSession
@@ -145,10 +147,11 @@ def learned_attribution(labelled: DataFrame, cfg: LearnConfig | None = None) ->
     if not defined:
         clusters = close(None, nodes)
         report = spark.createDataFrame(
-            [(n_ops, n, int(positives), False, math.nan)], "operators long, pairs long, positives long, defined boolean, auc double"
+            [(n_ops, n, int(positives), False, math.nan, k)],
+            "operators long, pairs long, positives long, defined boolean, auc double, folds_used int",
         )
         weights = single.select("feature", F.lit(None).cast("double").alias("weight"), "auc")
-        return clusters.select("account", "cluster_id"), report, weights
+        return clusters.select("account", "cluster_id"), _scored(report, labelled, clusters, cfg), weights
     judged = written(cross_validate(pairs, k, cfg), "judged")
     held = judged.filter("kind = 'pair'")
     # fold sets without training rows keep a probability of zero
@@ -158,6 +161,7 @@ def learned_attribution(labelled: DataFrame, cfg: LearnConfig | None = None) ->
         F.lit(int(positives)).cast("long").alias("positives"),
         F.lit(True).alias("defined"),
         F.coalesce("auc", F.lit(math.nan)).alias("auc"),
+        F.lit(k).alias("folds_used"),
     )
     linked = held.filter(F.round("p", 6) >= cfg.threshold).select("a", "b")
     models = judged.filter("kind = 'model'")
@@ -168,4 +172,9 @@ def learned_attribution(labelled: DataFrame, cfg: LearnConfig | None = None) ->
         .select(F.element_at(F.array(*map(F.lit, FEATURES)), F.col("at") + 1).alias("feature"), "weight")
         .join(single, "feature", "right")
     )
-    return close(linked, nodes).select("account", "cluster_id"), report, weights.select("feature", "weight", "auc")
+    clusters = close(linked, nodes).select("account", "cluster_id")
+    return clusters, _scored(report, labelled, clusters, cfg), weights.select("feature", "weight", "auc")
+
+
+def _scored(report: DataFrame, labelled: DataFrame, clusters: DataFrame, cfg: LearnConfig) -> DataFrame:
+    return report.join(F.broadcast(evaluate(labelled, clusters.select("account", "cluster_id"), cfg.copay_window_secs)))

@@ -224,6 +224,26 @@ def _single_auc() -> str:
     )
 
 
+SUFFIX = """
+SELECT (SELECT count(*) FROM ledger) + n AS records, (SELECT count(DISTINCT slot) FROM ledger) + n AS slots,
+  (SELECT max(slot) FROM ledger) + n AS last_slot FROM topups
+"""
+TOPUPS = """
+hubs AS (SELECT operator, arg_min(source, pos) AS hub FROM ledger WHERE operator IS NOT NULL GROUP BY operator),
+topups AS (
+  SELECT count(*) AS n FROM (
+    SELECT fee_payer, arg_min(operator, pos) AS operator, arg_min(operator IS NULL, pos) AS unknown FROM ledger
+    WHERE fee_payer NOT IN (SELECT source FROM ledger) GROUP BY fee_payer) f
+  JOIN hubs USING (operator) WHERE NOT unknown AND hub <> fee_payer)
+"""
+FINGERPRINT = """
+SELECT sha256(string_agg(h, '' ORDER BY c)) AS fingerprint FROM (
+  SELECT c, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM (
+    SELECT pos, pos // 100000 AS c, sha256(concat_ws('|', sig, slot, ts, fee_payer, source, dest, amount, kind, coalesce(operator, 4294967295))) AS h
+    FROM ledger) GROUP BY c)
+"""
+
+
 def oracle_sql(names) -> dict[str, str]:
     presets = ("fee", "cospend", "activation", "exact", "windowed", "funder_aware")
     out = {
@@ -258,6 +278,8 @@ def oracle_sql(names) -> dict[str, str]:
         ),
         "purity_by_group": _with(_purity("bursts", by_group=True)),
         "funding_records": _with(FUNDING_RECORDS),
+        "funding_suffix_base": _with(SUFFIX, TOPUPS),
+        "ledger_fingerprint": _with(FINGERPRINT),
         "funder_anonymity": _with(ANONYMITY),
         "cost_estimate": _with("SELECT count(*) AS transactions, CAST(sum(CASE WHEN fee_payer = source THEN 1 ELSE 2 END) AS BIGINT) AS signatures, CAST(sum(CASE WHEN fee_payer = source THEN 1 ELSE 2 END) * 5000 AS BIGINT) AS estimated_fees, CAST(sum(amount) AS BIGINT) AS transferred FROM ledger"),
         "pair_features": _with("SELECT * FROM features", _feature_ctes()),
