@@ -34,7 +34,7 @@ from .words import words
 WINDOW = 13
 GRAM = 3
 SENDER_BYTES = 5 << 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 3 << 20
 #: A string that one sender finds in more places keeps them apart from its bucket.
 OFTEN = 16
 
