@@ -62,7 +62,7 @@ class Ids:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Packed(48_000_000)
+        self.known = Packed(128_000_000)
 
     def _learn(self, runs: list[bytes]) -> None:
         other, tokenize, found = [], self.tokenizer.model.tokenize, {}
@@ -133,7 +133,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = ids_of(path)
         for batch in batches:
-            for part in sliced(batch, "text", 1 << 20):
+            for part in sliced(batch, "text", 2_000_000):
                 ids = [x + end for x in t.encode(part.column("text").to_pylist())]
                 yield _cut(part.column("doc_id"), ids, limit)
 
