@@ -8,21 +8,33 @@ from pyspark.sql import functions as F
 from ..storage import discard, written
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+#: A node with more than this share of all ends is a hub; there are fewer than twice 1024 of them.
+HUB_SHARE = 1 / 1024
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node is tied to the smallest of the node and its neighbours."""
-    near = _both_ways(edges)
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return near.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
+def _joined_to_least(edges: DataFrame, key: str, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` with the smallest neighbour ``m`` of their node ``key``.
+
+    Hubs, of which there are few by definition, are sent to all workers, so
+    the many edges of one node are not shuffled into one task; all others meet
+    by an equi-join.
+    """
+    hubs = F.broadcast(least.filter(F.col("n") > total * HUB_SHARE).select(key, "m"))
+    rest = edges.join(hubs, key, "left_anti").join(least.select(key, "m"), key)
+    return edges.join(hubs, key).unionByName(rest)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Every neighbour above a node is tied to the smallest of the node and its neighbours. Here a < b in each edge."""
+    near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _joined_to_least(edges, "a", least, total).select(F.col("m").alias("a"), "b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node and its neighbours below are tied to the smallest of them. Here a < b in each edge."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    ties = edges.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
+    ties = _joined_to_least(edges, "b", least, total).select(F.col("m").alias("a"), F.col("a").alias("b"))
     return ties.unionByName(least.select(F.col("m").alias("a"), "b")).filter("a < b").distinct()
 
 
@@ -36,10 +48,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) of every node that has an edge to another; the root is the component's smallest node.
 
     ``edges`` has columns a and b of one orderable type. Loops and repeats are
-    dropped. Each round is written to shared storage, so lineage stays short
-    and a lost executor costs no more than a round. Only two checksums per
-    round reach the driver. The joins are plain equi-joins, whose hot keys
-    adaptive execution splits.
+    dropped. Each step is written to shared storage, so lineage stays short
+    and a lost executor costs no more than a step. Only a count and two
+    checksums per round reach the driver.
     """
     spark = edges.sparkSession
     edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -48,9 +59,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        after = written(_small_star(_large_star(now)), "cc")
+        starred = written(_large_star(now, state[0]), "cc")
+        after = written(_small_star(starred, state[0]), "cc")
         last, state = state, _state(after)
         discard(spark, now)
+        discard(spark, starred)
         now = after
         if state == last:
             break

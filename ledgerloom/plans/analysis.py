@@ -11,12 +11,14 @@ from ..config import LinkConfig
 from ..operators.clusters import cluster
 from ..operators.cost import cost
 from ..operators.metrics import evaluate
+from ..storage import written
 
 SWEEP = (0, 30, 60, 120, 300, 600)
 
 
 def analyze(labelled: DataFrame, cfg: LinkConfig) -> tuple[DataFrame, DataFrame]:
-    clusters = cluster(labelled, cfg)
+    """(clusters, one-row report); the clusters are written, as the report reads them many times."""
+    clusters = written(cluster(labelled, cfg), "clusters")
     return clusters, evaluate(labelled, clusters, cfg.scoring_window)
 
 

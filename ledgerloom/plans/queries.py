@@ -19,11 +19,12 @@ from ..operators.funding import FundingConfig, apply_funding, throwaway_payers
 from ..operators.generator import GenConfig, generate
 from ..operators.groups import burst_groups, dest_episodes, window_groups
 from ..operators.learned import labelled_pairs, learned_attribution, roc_auc
-from ..operators.metrics import evaluate, funder_anonymity, funding_records, purity
+from ..operators.metrics import funder_anonymity, funding_records, purity
 from ..sources.fixture import fixture_ledger
 from ..sources.personas import presets
+from ..storage import written
 from . import oracle as sql
-from .analysis import rounded, window_sweep, worst_case
+from .analysis import analyze, rounded, window_sweep, worst_case
 
 EXACT, WINDOWED, FUNDER = LinkConfig.exact_ts(), LinkConfig.windowed(120), LinkConfig.funder_aware(120)
 ONLY = {
@@ -40,6 +41,11 @@ def _on(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], Da
     return lambda spark, sf_dir: f(fixture_ledger(spark, sf_dir))
 
 
+def _settled(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """For analyses that read the ledger many times: it is derived from events, so it is written once."""
+    return lambda spark, sf_dir: f(written(fixture_ledger(spark, sf_dir), "ledger"))
+
+
 def _seen(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return _on(lambda ledger: f(acc.public(ledger)))
 
@@ -49,7 +55,7 @@ def _weighted(pairs: DataFrame, least: int) -> DataFrame:
 
 
 def _report(ledger: DataFrame, cfg: LinkConfig) -> DataFrame:
-    return rounded(evaluate(ledger, cluster(ledger, cfg), cfg.scoring_window))
+    return rounded(analyze(ledger, cfg)[1])
 
 
 def _burst_summary(ledger: DataFrame) -> DataFrame:
@@ -121,11 +127,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edges_ceiling": _seen(lambda p: ed.canonical(ed.ceiling_edges(burst_groups(p), EXACT))),
         "funding_edges": _seen(ed.funding_edges),
         "edges_funder": _seen(lambda p: ed.canonical(ed.funder_edges(p, FUNDER))),
-        **{f"clusters_{name}": _on(lambda x, c=c: cluster(x, c)) for name, c in ONLY.items()},
-        "cluster_sizes_fee": _on(lambda x: sizes(cluster(x, ONLY["fee"]))),
-        **{f"report_{name}": _on(lambda x, c=c: _report(x, c)) for name, c in ONLY.items()},
-        "window_sweep": _on(lambda x: rounded(window_sweep(x))),
-        "worst_case_f1": _on(lambda x: rounded(worst_case(x))),
+        **{f"clusters_{name}": _settled(lambda x, c=c: cluster(x, c)) for name, c in ONLY.items()},
+        "cluster_sizes_fee": _settled(lambda x: sizes(cluster(x, ONLY["fee"]))),
+        **{f"report_{name}": _settled(lambda x, c=c: _report(x, c)) for name, c in ONLY.items()},
+        "window_sweep": _settled(lambda x: rounded(window_sweep(x))),
+        "worst_case_f1": _settled(lambda x: rounded(worst_case(x))),
         "purity_by_group": _on(lambda x: purity(burst_groups(x), "", by_group=True)),
         "funding_records": _on(lambda x: funding_records(x).select("sig", "source", "dest")),
         "funder_anonymity": _on(funder_anonymity),
@@ -133,11 +139,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda x: cost(x).select(*(F.col(c).cast("long").alias(c) for c in ("transactions", "signatures", "estimated_fees", "transferred")))
         ),
         "ledger_fingerprint": _on(fingerprint),
-        "pair_features": _on(_features),
-        "single_feature_auc": _on(_single_auc),
-        "learned_attribution": _on(lambda x: rounded(learned_attribution(x)[1])),
-        "learned_weights": _on(lambda x: rounded(learned_attribution(x)[2])),
-        "learned_clusters": _on(lambda x: learned_attribution(x)[0]),
+        "pair_features": _settled(_features),
+        "single_feature_auc": _settled(_single_auc),
+        "learned_attribution": _settled(lambda x: rounded(learned_attribution(x)[1])),
+        "learned_weights": _settled(lambda x: rounded(learned_attribution(x)[2])),
+        "learned_clusters": _settled(lambda x: learned_attribution(x)[0]),
         "monotone_time_violations": _on(_monotone),
         "throwaway_payers": _on(_funding_suffix),
         "funding_suffix_base": _on(_funded_stats),

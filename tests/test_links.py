@@ -125,3 +125,21 @@ def test_components_of_a_chain(spark):
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     assert got == {f"{i:03}": "000" for i in range(61)} | {"y": "y", "z": "y"}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_components_of_hubs(spark):
+    """Nodes that hold most edges, as the smallest and as the largest of their component."""
+    pairs = [(x, 2999) for x in range(0, 3000, 2)] + [(5, x) for x in range(1, 900, 2)] + [(x, x + 2) for x in range(1001, 1400, 2)]
+    root = {}
+
+    def top(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    found = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in found} == {x: top(x) for x in root}
