@@ -1,7 +1,7 @@
 """WARC records in seekable Zstandard bundles.
 
-A bundle is a row of independent Zstandard frames, each holding whole records,
-and a skippable frame with the seek table as its footer. An index maps each
+A bundle is a row of independent Zstandard frames, each holding whole records
+(the first the bundle's warcinfo), and a skippable frame with the seek table as its footer. An index maps each
 record to its bundle, its frame and its place inside the frame; a reader seeks
 by the footer and unpacks single frames.
 """
@@ -12,11 +12,12 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 import zstandard
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import scratch_path, written
@@ -52,30 +53,44 @@ def read_seek_table(file) -> list[tuple[int, int]]:
     return out
 
 
-def record(page_id, url: str | None, kind: str, payload: bytes, digest: str, refers_to, length: int) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload and names the response that has it."""
+def _framed(fields: list[str], block: bytes) -> bytes:
+    """One WARC/1.1 record of header lines and a block."""
+    return "\r\n".join(["WARC/1.1", *fields, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def info(name: str, date: str) -> bytes:
+    """The record that opens a bundle."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}"]
+    return _framed([*head, f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n")
+
+
+def record(page_id, url: str | None, kind: str, payload: bytes, digest: str, refers_to, length: int, date: str) -> bytes:
+    """One record whose block is an HTTP response; a revisit's has the head only and names the response with the payload."""
     head = [
-        "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {'' if url is None else ''.join(' ' if c in '\r\n' else c for c in url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {length}",
+        "Content-Type: application/http; msgtype=response",
     ]
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-        payload = b""
-    head += [f"Content-Length: {len(payload)}", "", ""]
-    return "\r\n".join(head).encode() + payload + b"\r\n\r\n"
+        return _framed([*head, f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"], block)
+    return _framed(head, block + payload)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields and payload: of an HTTP response what follows its head, else the block."""
     head, _, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     if first != "WARC/1.1":
         raise ValueError("not a WARC record")
     fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
-    return fields, rest[: int(fields["Content-Length"])]
+    block = rest[: int(fields["Content-Length"])]
+    http = fields.get("Content-Type", "").startswith("application/http")
+    return fields, block.partition(b"\r\n\r\n")[2] if http else block
 
 
 def _page(urn: str) -> int | None:
@@ -83,9 +98,14 @@ def _page(urn: str) -> int | None:
     return int(found) if found else None
 
 
+def qualified(spark: SparkSession, base: str) -> str:
+    """The folder as Spark itself would name it: a path without a scheme lies in the cluster's default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open(base: str) -> tuple[arrow_fs.FileSystem, str]:
-    if "://" not in base and not base.startswith("file:"):
-        return arrow_fs.LocalFileSystem(), base
+    """File system and folder of a qualified name."""
     if base.startswith("file:"):
         return arrow_fs.LocalFileSystem(), "/" + base.removeprefix("file:").lstrip("/")
     return arrow_fs.FileSystem.from_uri(base)
@@ -94,14 +114,17 @@ def _open(base: str) -> tuple[arrow_fs.FileSystem, str]:
 class _Bundle:
     """Writes one bundle; its name is unique, so a repeated task never meets the file of another attempt."""
 
-    def __init__(self, base: str):
+    def __init__(self, base: str, date: str):
         self.name = f"{uuid.uuid4().hex}.warc.zst"
         store, folder = _open(base)
         store.create_dir(folder, recursive=True)
         self.out = store.open_output_stream(f"{folder}/{self.name}", compression=None)
         self.packer = zstandard.ZstdCompressor(level=3, write_checksum=True)
-        self.frames: list[tuple[int, int]] = []
-        self.held, self.size, self.written = [], 0, 0
+        first = info(self.name, date)
+        packed = self.packer.compress(first)
+        self.out.write(packed)
+        self.frames = [(len(packed), len(first))]
+        self.held, self.size, self.written = [], 0, len(packed)
 
     def add(self, page_id, data: bytes) -> None:
         self.held.append((page_id, self.size, data))
@@ -132,15 +155,19 @@ class _Bundle:
 INDEX = "bundle string, frame int, page_ids array<long>, offsets array<long>, lengths array<long>"
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """Add payload, digest, length and ``response``: the largest page_id of equal payloads of enough bytes.
+def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES, fetched: str | None = None) -> DataFrame:
+    """Add payload, digest, length, ``fetched`` and ``response``: the largest page_id of equal payloads of enough bytes.
 
+    ``fetched`` names the timestamp column of the fetch, if there is one.
     Only (digest, page_id) is aggregated; the payloads meet the few digests
     that repeat by an equi-join, whose hot keys adaptive execution splits.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     slim = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")
+        F.col("page_id").cast("long").alias("page_id"),
+        "url",
+        payload.alias("payload"),
+        (F.date_format(F.to_utc_timestamp(fetched, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if fetched else F.lit(None).cast("string")).alias("fetched"),
     ).withColumns({"digest": F.sha1("payload"), "length": F.octet_length("payload").cast("long")})
     twice = (
         slim.filter(F.col("length") >= least_bytes)
@@ -156,8 +183,12 @@ def write_bundles(records: DataFrame, base: str, frame_bytes: int = FRAME_BYTES,
     """Write the records below ``base``, a folder that all executors share; returns the index, a row per frame.
 
     The index is written with the bundles and names only those of tasks that
-    ended well; what a lost attempt leaves behind is never read.
+    ended well; what a lost attempt leaves behind is never read. Records whose
+    time of fetch is unknown are dated by the start of the writing. All
+    dates are in UTC.
     """
+    base = qualified(records.sparkSession, base)
+    now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bundle, rows = None, []
@@ -166,8 +197,10 @@ def write_bundles(records: DataFrame, base: str, frame_bytes: int = FRAME_BYTES,
                 page = None if pd.isna(x.page_id) else int(x.page_id)
                 first = None if pd.isna(x.response) else int(x.response)
                 again = first is not None and page != first
-                bundle = bundle or _Bundle(base)
-                bundle.add(page, record(page, x.url, "revisit" if again else "response", bytes(x.payload), x.digest, first, int(x.length)))
+                bundle = bundle or _Bundle(base, now)
+                date = now if pd.isna(x.fetched) else x.fetched
+                kind = "revisit" if again else "response"
+                bundle.add(page, record(page, x.url, kind, bytes(x.payload), x.digest, first, int(x.length), date))
                 if bundle.size >= frame_bytes:
                     rows.append(bundle.flush())
                     if bundle.written >= bundle_bytes:
@@ -192,6 +225,7 @@ def read_bundles(index: DataFrame, base: str) -> DataFrame:
     A response's digest and length come from the payload itself; a revisit's
     from its header.
     """
+    base = qualified(index.sparkSession, base)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, folder = _open(base)

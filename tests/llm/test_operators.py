@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from brute import classes, least_reachable, removed, simhash, similar_classes, statistics
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -119,6 +120,26 @@ def test_bundles_can_be_sought(spark, tmp_path):
     assert bytes(back["payload"]).decode() == "<p>17</p>" * 50 and back["url"] == "http://h/17"
 
 
+def test_whole_bundle_is_a_warc_file(spark, tmp_path):
+    """Unpacked from start to end without the index: a warcinfo, then records with the mandatory fields, all dated."""
+    rows = [(1, "u", "a\r\n\r\nb" * 300, "2024-05-06 07:08:09"), (2, "u", "a\r\n\r\nb" * 300, None), (3, "u", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, at string").withColumn("at", F.to_timestamp("at")).coalesce(1)
+    warc.write_bundles(warc.with_revisits(pages, fetched="at").coalesce(1), f"file://{tmp_path}").count()
+    (file,) = tmp_path.glob("*.warc.zst")
+    with zstandard.ZstdDecompressor().stream_reader(file.open("rb"), read_across_frames=True) as f:
+        data = f.read()
+    found = {}
+    while data:
+        fields, payload = warc.parse(data)
+        size = data.index(b"\r\n\r\n") + 4 + int(fields["Content-Length"])
+        assert data[size : size + 4] == b"\r\n\r\n" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Type"} <= set(fields)
+        found[fields["WARC-Record-ID"] if found else "info"], data = (fields, payload), data[size + 4 :]
+    assert found["info"][0]["WARC-Type"] == "warcinfo" and len(found) == 4
+    assert found["<urn:page:2>"][1].decode() == rows[0][2] and found["<urn:page:3>"][1] == b""
+    first = found["<urn:page:1>"][0]
+    assert first["WARC-Type"] == "revisit" and first["WARC-Refers-To"] == "<urn:page:2>" and first["WARC-Date"] == "2024-05-06T07:08:09Z"
+
+
 def test_url_lists(spark):
     entries = spark.createDataFrame(
         [("b.com", "2020-01-05", 1, "block"), ("b.com", "2020-01-05", 2, "allow"), ("b.com", "2020-02-01", 1, "block"), ("a.b.com", "2020-02-03", 1, "allow"),
