@@ -23,6 +23,10 @@ FEATURES = (
 )
 
 
+#: Accounts a block of the pair table, and the least number of blocks.
+BLOCK, LEAST_BLOCKS = 4096, 8
+
+
 def _count(pairs: DataFrame, out: str) -> DataFrame:
     """Rows per unordered pair."""
     return (
@@ -47,7 +51,9 @@ def _common(public: DataFrame, item: str, out: str) -> DataFrame:
 def pair_features(public: DataFrame, owned: DataFrame, cfg: LearnConfig) -> DataFrame:
     """(a, b, eight features) of every pair a < b of the accounts in ``owned``.
 
-    The pair table is quadratic in the owned accounts by definition. What is
+    The pair table is quadratic in the owned accounts by definition. It is
+    built in cells of two blocks of accounts, so that no side is sent whole to
+    every worker and no cell grows with the ledger. What is
     counted per shared bucket is first cut down to owned sources, as no other
     pair is ever read.
     """
@@ -78,8 +84,12 @@ def pair_features(public: DataFrame, owned: DataFrame, cfg: LearnConfig) -> Data
     over = F.least("_a1", "_b1") - F.greatest("_a0", "_b0")
     within = F.greatest("_a1", "_b1") - F.least("_a0", "_b0")
     overlap = F.greatest(over, F.lit(0)) / F.greatest(within, F.lit(1))
-    dense = side("a").join(side("b"), F.col("a") < F.col("b"))
-    dense = dense.select("a", "b", overlap.cast("double").alias("timespan_overlap"))
+    blocks = max(LEAST_BLOCKS, -(-ids.count() // BLOCK))
+    block = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks)).alias(f"_block_{x}")
+    every = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias(f"_block_{x}")
+    cells = ["_block_a", "_block_b"]
+    dense = side("a").select("*", block("a"), every("b")).join(side("b").select("*", every("a"), block("b")), cells)
+    dense = dense.filter("a < b").select("a", "b", overlap.cast("double").alias("timespan_overlap"))
     joined = reduce(lambda x, y: x.join(y, ["a", "b"], "left"), sparse.values(), dense)
     return joined.select("a", "b", *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in FEATURES))
 
