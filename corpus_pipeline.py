@@ -86,8 +86,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage(4)
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences, see :func:`packing.pack_documents`."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of the documents and their places in sequences, see :func:`packing.pack_documents`.
+
+    Workers remember fewer words than in packing alone, as they stand beside a JVM that the stages before have filled.
+    """
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=48_000_000)
 
 
 def _with_text(text: Column, columns: list[str], *names: str) -> list[Column]:

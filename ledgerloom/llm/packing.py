@@ -32,6 +32,8 @@ from .words import Packed, sliced
 LIMIT = 4096
 GRAIN = 8
 END_ID = 2
+#: Bytes of known words a worker.
+REMEMBER = 128_000_000
 
 
 #: ASCII punctuation and letters or digits.
@@ -60,9 +62,9 @@ class Ids:
     ends its run are apart as well, so a new run is first parted there.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Packed(128_000_000)
+        self.known = Packed(remember)
 
     def _learn(self, runs: list[bytes]) -> None:
         other, tokenize, found = [], self.tokenizer.model.tokenize, {}
@@ -99,11 +101,11 @@ class Ids:
 
 
 @cache
-def ids_of(path: str) -> Ids:
+def ids_of(path: str, remember: int = REMEMBER) -> Ids:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Ids(path)
+    return Ids(path, remember)
 
 
 def _cut(doc_ids: pa.Array, ids: list[bytes], limit: int) -> pa.RecordBatch:
@@ -123,7 +125,9 @@ def _cut(doc_ids: pa.Array, ids: list[bytes], limit: int) -> pa.RecordBatch:
     )
 
 
-def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
+def pieces(
+    docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID, remember: int = REMEMBER
+) -> DataFrame:
     """Tokenise whole texts, add the end id and cut at multiples of the limit.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens.
@@ -131,7 +135,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID)
     kind, end = dict(docs.dtypes)["doc_id"], np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = ids_of(path)
+        t = ids_of(path, remember)
         for batch in batches:
             for part in sliced(batch, "text", 2_000_000):
                 ids = [x + end for x in t.encode(part.column("text").to_pylist())]
@@ -314,14 +318,16 @@ def pack(cut: DataFrame, limit: int = LIMIT, grain: int = GRAIN) -> DataFrame:
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(here), F.lit(0))).drop("_slot")
 
 
-def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, grain: int = GRAIN) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, path: str, limit: int = LIMIT, grain: int = GRAIN, remember: int = REMEMBER
+) -> DataFrame:
     """Tokenise, cut and pack whole documents.
 
     A NULL or empty text holds only the end id. A NULL doc_id is packed like
     any other; repeated rows are packed once each. An empty table gives no
     rows. Columns beside doc_id and text take no part.
     """
-    cut = pieces(docs, path, limit)
+    cut = pieces(docs, path, limit, remember=remember)
     return pack(cut, limit, grain).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )

@@ -35,7 +35,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 from ..operators.components import connected_components
 from ..storage import written
 from .rows import sent, unwrapped, wrapped
-from .words import sliced, words
+from .words import forget, sliced, words
 
 RADIUS = 3
 BITS = 64
@@ -107,10 +107,13 @@ def _with_digest(docs: DataFrame, name: str, kind: str, digest: Callable[[list],
     rest = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in sliced(batch, "text", 1 << 20):
                 made = digest(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, name])
+        batch = part = made = None
+        forget()
 
     return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(name, DataType.fromDDL(kind))]))
 

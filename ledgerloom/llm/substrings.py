@@ -29,7 +29,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..storage import release, written
 from .rows import unwrapped, wrapped
-from .words import words
+from .words import forget, words
 
 WINDOW = 13
 GRAM = 3
@@ -44,22 +44,18 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np
 
 _BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0xD6E8FEB86659FD93
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers of the base and of its inverse modulo 2**64: the first SPAN, and those of every SPAN-th place as far as needed.
+_SPAN = 4096
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64; kept, as every buffer needs them."""
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            row = np.full(n, base, np.uint64)
-            row[0] = 1
-            _POWERS[i] = np.cumprod(row)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _row(base: int, n: int) -> np.ndarray:
+    row = np.full(n, base, np.uint64)
+    row[0] = 1
+    return np.cumprod(row)
 
 
-def _forget_powers() -> None:
-    """Workers live on between tasks; what only buffers need goes when a task ends."""
-    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_UP, _DOWN = _row(_BASE, _SPAN), _row(_INVERSE, _SPAN)
 
 
 class _Text:
@@ -72,13 +68,21 @@ class _Text:
         gap = np.flatnonzero(newline | (byte == 32))
         self.start, self.end = np.r_[0, gap + 1], np.r_[gap, len(byte)]
         self.line = np.r_[0, np.cumsum(newline[gap])]
-        up, self.down = _powers(len(byte) + 1)
+        spans = len(byte) // _SPAN + 1
+        self.far = _row(pow(_INVERSE, _SPAN, 1 << 64), spans)
+        # in place, as an array of the bytes' number takes eight times their room
         self.sums = np.zeros(len(byte) + 1, np.uint64)
-        np.cumsum(_BYTE[byte] * up[:-1], out=self.sums[1:])
+        for i, up in enumerate(_row(pow(_BASE, _SPAN, 1 << 64), spans)):
+            part = byte[i * _SPAN : (i + 1) * _SPAN]
+            self.sums[i * _SPAN + 1 : i * _SPAN + 1 + len(part)] = _BYTE[part] * (_UP[: len(part)] * up)
+        np.cumsum(self.sums, out=self.sums)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit polynomial hash of the bytes from start to end."""
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        out = self.sums[end] - self.sums[start]
+        out *= _DOWN[start % _SPAN]
+        out *= self.far[start // _SPAN]
+        return out
 
 
 def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -210,7 +214,7 @@ def send(docs: DataFrame, buckets: int, often: int = OFTEN) -> DataFrame:
                 if sender.bytes >= SENDER_BYTES:
                     yield from rows()
         yield from rows()
-        _forget_powers()
+        forget()
 
     return docs.select("doc_id", "tag", "text").mapInArrow(run, SENT)
 
@@ -335,7 +339,8 @@ def meet(sent: DataFrame) -> DataFrame:
                 held.append(body)
         if held:
             yield from judge(held)
-        _forget_powers()
+        held = None
+        forget()
 
     return dealt.mapInPandas(run, FOUND)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import weakref
+
 import pyarrow as pa
 
 #: The characters between words.
@@ -14,18 +17,42 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+#: The maps of this worker.
+_maps: list[weakref.ref] = []
+
+
+def forget() -> None:
+    """Empty the maps of this worker and give unused memory back to the system.
+
+    Spark hands a worker from one operator to the next, and keeps it for a
+    while without work; what it still held would stand beside the memory that
+    the JVM needs meanwhile.
+    """
+    for held in [m() for m in _maps]:
+        if held is not None and held.size:
+            held.empty()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 class Packed(dict):
     """A map from word to packed ids that :meth:`room` empties when it has taken ``limit`` bytes, so memory stays bounded; ``always`` stays."""
 
     def __init__(self, limit: int = 64_000_000, always: dict | None = None):
         super().__init__(always or {})
         self.limit, self.size, self.always = limit, 0, always or {}
+        _maps.append(weakref.ref(self))
 
     def room(self) -> None:
         if self.size > self.limit:
-            self.clear()
-            self.update(self.always)
-            self.size = 0
+            self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.update(self.always)
+        self.size = 0
 
     def learn(self, found: dict) -> None:
         self.update(found)

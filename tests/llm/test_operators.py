@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 from itertools import combinations_with_replacement
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import bpe, packing, pii, quality, queries, sharding, simhash as sim, substrings, topk, url_lists, warc
+from ledgerloom.llm.words import Packed, forget
 from ledgerloom.storage import written
 
 WORD_BPE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -556,3 +558,23 @@ def test_hash_is_the_standard_one(spark):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_hashes_of_bytes_take_little_memory():
+    data = b" ".join([b"x" * 999] * 2000)
+    tracemalloc.start()
+    text = substrings._Text(data)
+    h = text.hashes(text.start, text.end)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(h.tolist())) == 1 and peak < 16 * len(data)
+
+
+def test_workers_forget_words():
+    kept, other = Packed(100, {b"a": b"1"}), packing.Ids(WORD_BPE, 1000)
+    kept.learn({b"b": b"2"})
+    other.encode(["some words"])
+    assert b"b" in kept and other.known
+    forget()
+    assert dict(kept) == {b"a": b"1"} and not other.known and other.known.size == 0
+    assert other.encode(["some words"])[0] == packing.Ids(WORD_BPE).encode(["some words"])[0]
