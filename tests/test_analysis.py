@@ -12,7 +12,8 @@ from ledgerloom.config import LearnConfig
 from ledgerloom.operators.funding import FundingConfig, apply_funding
 from ledgerloom.operators.generator import GenConfig, Hardening, account, generate, run_comparison
 from ledgerloom.operators.learned import cross_validate, labelled_pairs, learned_attribution
-from ledgerloom.operators.features import FEATURES
+from ledgerloom.operators.accounts import ownership, public
+from ledgerloom.operators.features import FEATURES, pair_features
 from ledgerloom.plans.analysis import report, verdict
 from ledgerloom.sources.fixture import fixture_ledger
 from ledgerloom.sources.personas import presets
@@ -130,3 +131,20 @@ def test_comparison_and_reports(spark, tmp_path):
     lines = [r["line"] for r in text_table(reports).orderBy("n").collect()]
     assert lines[0].split() == ["naive", "hardened"] and lines[1].split() == ["num_accounts", str(n["num_accounts"]), str(h["num_accounts"])]
     assert len(lines) == 1 + len(reports["naive"].columns) and len({len(x) for x in lines}) == 1
+
+
+def test_pairs_are_made_in_their_cells_and_never_move(spark, small):
+    made = pair_features(public(small), ownership(small), LearnConfig())
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split()[0] == "MapInArrow"  # neither a join nor an exchange above the pairs
+    items = {c: {} for c in ("fee_payer", "dest")}
+    for r in small.collect():
+        for c, of in items.items():
+            of.setdefault(r["source"], set()).add(r[c])
+    owned = sorted(r["account"] for r in ownership(small).collect())
+    found = {(r["a"], r["b"]): r for r in made.collect()}
+    assert sorted(found) == [(a, b) for a, b in product(owned, owned) if a < b]
+    for (a, b), r in found.items():
+        for c, of in items.items():
+            both = len((of[a] & of[b]) - {None})
+            assert r[f"{c}_jaccard"] == (both / (len(of[a]) + len(of[b]) - both) if both else 0)
