@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import LearnConfig
 from ledgerloom.operators.funding import FundingConfig, apply_funding
 from ledgerloom.operators.generator import GenConfig, Hardening, account, generate, run_comparison
+from ledgerloom.operators import learned
 from ledgerloom.operators.learned import cross_validate, labelled_pairs, learned_attribution
 from ledgerloom.operators.accounts import ownership, public
 from ledgerloom.operators.features import FEATURES, pair_features
@@ -148,3 +149,15 @@ def test_pairs_are_made_in_their_cells_and_never_move(spark, small):
         for c, of in items.items():
             both = len((of[a] & of[b]) - {None})
             assert r[f"{c}_jaccard"] == (both / (len(of[a]) + len(of[b]) - both) if both else 0)
+
+
+def test_pairs_get_their_labels_without_moving(spark, small, monkeypatch):
+    monkeypatch.setattr(learned, "written", lambda df, label: df)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for accounts too many for it
+        plan = labelled_pairs(small, LearnConfig())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    above = plan.split("MapInArrow")[0]
+    assert "BroadcastHashJoin" in above and "SortMergeJoin" not in above
