@@ -14,7 +14,9 @@ share one of their first few hashes meet, as all sets that similar do. Inside
 such a bucket the bit planes of wide fingerprints leave out what is far, and
 parity maps what cannot be similar enough. The pairs that are left are compared
 shingle by shingle: first those of a forest of nearest neighbours, then those
-that it has not joined.
+that it has not joined. The forests of all buckets make families, outside of
+which nothing is similar; a family that the links do not hold together gets its
+whole sets in one place, so that no pair has to travel.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ WIDE_SHINGLE, WIDE_WORDS, PARITY_WORDS = 5, 4, 4
 #: Shingles that more sets have are moved to the end of the order, in so many rounds at most.
 HOT, COOLED = 16_384, 3
 SIMILARITY = 0.8
+#: A family's sets are dealt to blocks of so many shingles at most on average; one of more than SPREAD blocks stays in its buckets.
+BLOCK_SHINGLES, SPREAD = 1 << 21, 16
 #: So many standard deviations beyond the mean distance of a pair at the limit a fingerprint may lie; the last
 #: ones are for sets of few shingles, whose ties move the mean.
 DEVIATIONS = 7.5
@@ -463,8 +467,12 @@ BUCKET = ["key", "p", "q"]
 
 def _dealt(shared: DataFrame, largest: int) -> DataFrame:
     """(key, p, q, side, id): a key's ids are dealt to blocks of about ``largest``, and each two blocks, or one alone, are a bucket."""
-    dealt = shared.select("key", "id", F.ceil(F.col("k") / largest).alias("blocks"))
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("id"), "blocks"))
+    return _in_blocks(shared.select("key", "id", F.ceil(F.col("k") / largest).alias("blocks")))
+
+
+def _in_blocks(keyed: DataFrame) -> DataFrame:
+    """(key, p, q, side, id) of (key, id, blocks)."""
+    dealt = keyed.withColumn("side", F.pmod(F.xxhash64("id"), "blocks"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return other.select("key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "id")
 
@@ -524,8 +532,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFr
     return pairs.filter(f"{both} * {common} >= {own} * (size(of_a) + size(of_b))").select("a", "b")
 
 
+def _family_links(met: DataFrame, similarity: Fraction, rows_at_once: int = 2048) -> DataFrame:
+    """(a, b): links that join the different roots of one bucket whose whole sets are similar enough; never all pairs.
+
+    ``met`` is (key, p, q, side, id, root, fp, odd, shingles).
+    """
+    num, den, radius = similarity.numerator, similarity.denominator, radius_of(float(similarity))
+
+    def joined(pdf: pd.DataFrame, bucket: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        ids, side = (pdf[c].to_numpy(np.int64) for c in ("id", "side"))
+        fp, odd = (np.frombuffer(b"".join(pdf[c]), "<u8").reshape(len(pdf), -1) for c in ("fp", "odd"))
+        alone = (pdf["p"] == pdf["q"]).to_numpy()
+        groups = pd.DataFrame({"b": bucket, "r": pdf["root"]}).groupby(["b", "r"]).ngroup().to_numpy()
+        label = np.unique(groups, return_index=True)[1][groups]
+        code = np.unique(np.concatenate(pdf["shingles"].tolist()), return_inverse=True)[1].astype(np.int32)
+        ends, own, found = np.cumsum(n), np.zeros(int(code.max()) + 1, bool), []
+        for i, j in near_pairs(fp, bucket, radius, 4096):
+            fine = (alone[i] | (side[i] != side[j])) & (label[i] != label[j])
+            fine &= den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
+            i, j = i[fine], j[fine]
+            apart = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+            fine = (den + num) * apart <= (den - num) * (n[i] + n[j])
+            i, j = i[fine], j[fine]
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            cuts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else i
+            for x, to in zip(i[cuts].tolist(), np.split(j, cuts[1:])):
+                to = to[label[to] != label[x]]
+                if not len(to):
+                    continue
+                mine = code[ends[x] - n[x] : ends[x]]
+                own[mine] = True
+                starts = np.cumsum(n[to]) - n[to]
+                every = np.repeat(ends[to] - n[to] - starts, n[to]) + np.arange(n[to].sum())
+                common = np.add.reduceat(own[code[every]], starts, dtype=np.int64)
+                own[mine] = False
+                to = to[(den + num) * common >= num * (n[x] + n[to])]
+                to = to[np.unique(label[to], return_index=True)[1]]
+                if len(to):
+                    found += [(ids[x], y) for y in ids[to]]
+                    _unite(label, np.full(len(to), x), to)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def solve(pdf: pd.DataFrame, bucket: np.ndarray) -> Iterator[pd.DataFrame]:
+        n = pdf["shingles"].map(len).to_numpy(np.int64)
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        share = (np.cumsum(n)[first] - n[first]) // BLOCK_SHINGLES  # buckets that begin in one share go together
+        cuts = [*first[np.r_[True, share[1:] != share[:-1]]].tolist(), len(pdf)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield joined(pdf.iloc[a:b].reset_index(drop=True), bucket[a:b], n[a:b])
+        forget()
+
+    return _per_bucket(met, BUCKET, "id", solve, rows_at_once)
+
+
 def similar_links(
-    texts: DataFrame, sketches: DataFrame, similarity: float, largest: int = LARGEST, hot_from: int = HOT
+    texts: DataFrame, sketches: DataFrame, similarity: float, largest: int = LARGEST, hot_from: int = HOT,
+    spread: int = SPREAD,
 ) -> DataFrame:
     """(a, b): links that join all ids whose shingle sets have at least this Jaccard similarity, and no others.
 
@@ -535,6 +598,10 @@ def similar_links(
     and so a bucket. A forest of nearest neighbours per bucket is compared
     first; then every pair that may be similar and that its links have not
     joined, so a large group of near copies does not bring all its pairs.
+    What may be similar is of one family, a component of these forests. Sets of
+    a family with several classes meet whole, in blocks, and yield links only;
+    in a family of more than ``spread`` blocks, whose sets would be sent too
+    often, the pairs of its buckets are looked up instead, all of them.
     """
     t = Fraction(str(similarity))
     entries = sketches.select("id", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
@@ -548,15 +615,31 @@ def similar_links(
     sets = written(_sets(texts.join(sent(ids), "id", "left_semi")), "sets")
     linked = written(_verified(nearest, sets, t), "links")
     roots = connected_components(linked)
+    named = roots.withColumnRenamed("node", "id")
+    kin = connected_components(nearest).select(F.col("node").alias("id"), F.col("root").alias("key"))
+    members = kin.join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    members = written(members.join(sets.select("id", F.size("shingles").cast("long").alias("n")), "id"), "families")
+    families = members.groupBy("key").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / (4 * largest)), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"),
+        F.min("root").alias("low"), F.max("root").alias("high"),
+    )
+    split = written(families.filter("low <> high").select("key", "blocks"), "families")
+    ties = roots.filter("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    near = _in_blocks(members.select("key", "id").join(split.filter(F.col("blocks") <= spread), "key"))
+    met = near.join(members.select("id", "root"), "id").join(marks.drop("n"), "id").join(sets, "id")
+    found = ties.unionByName(_family_links(met, t))
+    wide = split.filter(F.col("blocks") > spread)
+    if wide.isEmpty():
+        return found
     # a bucket whose tree the links hold together has no more to say
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     ends = trees.join(of("a"), "a", "left").join(of("b"), "b", "left")
     open_ = ends.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select(*BUCKET).distinct()
-    rooted = dealt.join(open_, BUCKET, "left_semi").join(marks, "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    more = _candidates(rooted.withColumn("root", F.coalesce("root", "id")), t, False).select("a", "b").distinct()
+    far = members.join(wide, "key", "left_semi").select("id", "root")
+    rooted = dealt.join(open_, BUCKET, "left_semi").join(far, "id").join(marks, "id")
+    more = _candidates(rooted, t, False).select("a", "b").distinct()
     rest = written(more.join(nearest, ["a", "b"], "left_anti"), "pairs")
-    ties = roots.filter("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    return ties.unionByName(_verified(rest, sets, t))
+    return found.unionByName(_verified(rest, sets, t))
 
 
 def sketched(docs: DataFrame, similarity: Fraction, out: str) -> DataFrame:

@@ -397,6 +397,36 @@ def test_a_group_of_near_copies_does_not_bring_all_its_pairs(spark):
     assert sorted(set(root.values())) == similar_classes(rows)
 
 
+@pytest.mark.parametrize("largest, spread", [(1024, 16), (8, 16), (8, 0)])
+def test_texts_just_below_the_limit_do_not_bring_all_pairs_with_a_group(spark, monkeypatch, largest, spread):
+    """A group of near copies and strangers, each of which may be similar to every copy and is to none but its twin."""
+    rng, base, rows = np.random.default_rng(9), [f"w{k}" for k in range(300)], []
+    for i in range(120):
+        rows.append((i, " ".join([*base[:296], *(f"e{i}_{k}" for k in range(1 + i % 4))])))
+    for i in range(40):
+        far = [f"f{i}_{k}" for k in range(36)]
+        rows += [(200 + 2 * i + k, " ".join([*base[:264], *far[: 36 - k]])) for k in (0, 1)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    want = similar_classes(rows)
+    assert want == [0, *range(200, 280, 2)]
+    made, keep = [], sim.written
+
+    def counted(df, label):
+        out = keep(df, label)
+        made.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(sim, "written", counted)
+    exact = Fraction(4, 5)
+    table = spark.createDataFrame(rows, "id long, text string")
+    sketches = keep(sim.sketched(table, exact, "set").select("id", "set.n", "set.prefix", "set.fp", "set.odd"), "sketches")
+    found = sim.similar_links(table, sketches, 0.8, largest=largest, spread=spread).collect()
+    root = least_reachable([i for i, _ in rows], [(r["a"], r["b"]) for r in found])
+    assert sorted(set(root.values())) == want
+    # forests of small blocks, two by two, are many
+    assert largest < 1024 or sum(made) + len(found) < 20 * len(rows)
+
+
 @pytest.mark.parametrize("largest", [1024, 3])
 def test_large_buckets_are_parted_without_loss(spark, largest):
     rng = np.random.default_rng(0)
