@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -426,40 +426,77 @@ def _shared(entries: DataFrame, similarity: Fraction) -> DataFrame:
     return written(entries.join(counts.select("key", "k"), "key"), "shared")
 
 
-def _cooled(entries: DataFrame, texts: DataFrame, similarity: Fraction, hot_from: int) -> DataFrame:
+def _frequent(scans: list[DataFrame], keys: DataFrame, above: int) -> DataFrame:
+    """(key): those that more than ``above`` rows of ``keys`` are; each row is in an array of a row of ``scans`` too.
+
+    Such a key is in one task of the scans more often than its even share, so
+    only what is that frequent in a task is counted in all; other keys never move.
+    """
+    tasks = sum(s.rdd.getNumPartitions() for s in scans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.column(0).flatten().to_numpy(zero_copy_only=False) for b in batches]
+        if held:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key[n * tasks > above], pa.int64())], ["key"])
+
+    found = [s.mapInArrow(run, "key long") for s in scans]
+    likely = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    likely = written(likely.distinct(), "likely")
+    counted = keys.join(sent(likely), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    return written(counted.filter(F.col("k") > above).select("key"), "hot")
+
+
+def _drawn(texts: DataFrame, late: np.ndarray, similarity: Fraction) -> DataFrame:
+    """(id, n, prefix) of a table (id, text), with the shingles in ``late``, which ascend, at the end of the order."""
+
+    def digest(texts: list) -> pa.Array:
+        sets = [shingle_set(t) for t in texts]
+        prefixes = []
+        for h in sets:
+            found = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
+            prefixes.append(np.concatenate([h[~found], h[found]])[: prefix_length(len(h), similarity)])
+        columns = {"n": pa.array([len(h) for h in sets], pa.int32()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))}
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+    return _with_digest(texts, "set", "struct<n: int, prefix: array<bigint>>", digest).select("id", "set.n", "set.prefix")
+
+
+def _cooled(sketches: DataFrame, texts: DataFrame, similarity: Fraction, hot_from: int) -> DataFrame:
     """The shared entries, with keys of more than ``hot_from`` ids at the end of the order of all sets.
 
     Any one order of all sets will do, so nothing is lost; a prefix without
     such a key stays as it is, and the others are drawn again from whole sets,
     in which all their frequent keys are counted. That may bring up further
-    ones, for at most COOLED rounds; blocks hold what stays.
+    ones, for at most COOLED rounds; blocks hold what stays. The entries meet
+    only once, when their order is settled. The hot keys, of which there is one
+    in ``hot_from`` shingles at most, are sent to every worker.
     """
-    many, t = F.col("k") > hot_from, similarity
-    shared = _shared(entries, t)
-    hot = written(shared.filter(many).select("key").distinct(), "hot")
-    length = F.expr(f"n - ({t.numerator} * n + {t.denominator - 1}) div {t.denominator} + 1")
-    order = Window.partitionBy("id").orderBy(F.coalesce("late", F.lit(False)), "key")
-
-    def touched(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The ids with a hot key in their prefix, and all of their shingles."""
-        ids = written(entries.join(hot, "key", "left_semi").select("id").distinct(), "ids")
-        sets = written(_sets(texts.join(sent(ids), "id", "left_semi")), "sets")
-        return ids, sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
+    prefixes = sketches.select("id", F.col("n").cast("int").alias("n"), "prefix")
+    keys = lambda df, c: df.select(F.explode(c).alias("key"))
+    now, hot = prefixes, _frequent([prefixes.select("prefix")], keys(prefixes, "prefix"), hot_from)
+
+    def touched(hot: DataFrame) -> DataFrame:
+        """The ids with a hot key in their prefix."""
+        of = prefixes.select("id", F.explode("prefix").alias("key"))
+        return written(of.join(F.broadcast(hot), "key", "left_semi").select("id").distinct(), "ids")
 
     for _ in range(COOLED):
         if hot.isEmpty():
             break
-        counted = touched(hot)[1].groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(many)
-        hot = written(hot.unionByName(counted.select("key")).distinct(), "hot")
-        ids, whole = touched(hot)
-        whole = whole.join(hot.withColumn("late", F.lit(True)), "key", "left")
-        drawn = whole.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= length)
-        shared = _shared(entries.join(ids, "id", "left_anti").unionByName(drawn.select("id", "n", "key")), t)
-        more = written(shared.filter(many).select("key").distinct().join(hot, "key", "left_anti"), "hot")
+        sets = written(_sets(texts.join(sent(touched(hot)), "id", "left_semi")).select("shingles"), "sets")
+        hot = written(hot.unionByName(_frequent([sets], keys(sets, "shingles"), hot_from)).distinct(), "hot")
+        ids = touched(hot)
+        late = np.sort(hot.toPandas()["key"].to_numpy(np.int64))
+        drawn = written(_drawn(texts.join(sent(ids), "id", "left_semi"), late, similarity), "drawn")
+        # whole prefixes are left out, not their entries one by one
+        now = prefixes.join(sent(ids), "id", "left_anti").unionByName(drawn)
+        more = _frequent([prefixes.select("prefix"), drawn.select("prefix")], keys(now, "prefix"), hot_from)
+        more = written(more.join(F.broadcast(hot), "key", "left_anti"), "hot")
         if more.isEmpty():
             break
         hot = written(hot.unionByName(more), "hot")
-    return shared
+    return _shared(now.select("id", "n", F.explode("prefix").alias("key")), similarity)
 
 
 BUCKET = ["key", "p", "q"]
@@ -604,8 +641,7 @@ def similar_links(
     often, the pairs of its buckets are looked up instead, all of them.
     """
     t = Fraction(str(similarity))
-    entries = sketches.select("id", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
-    shared = _cooled(entries, texts, t, hot_from)
+    shared = _cooled(sketches, texts, t, hot_from)
     marks = sketches.select("id", "n", "fp", "odd")
     dealt = _dealt(shared, largest)
     trees = written(_candidates(dealt.join(marks, "id").withColumn("root", F.col("id")), t, True), "trees")

@@ -378,6 +378,27 @@ def test_similar_texts_meet_in_hot_buckets(spark):
             assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_entries_meet_once_however_many_shingles_are_hot(spark, monkeypatch):
+    """Each round of hot shingles made all entries meet again, and left out those of touched sets one by one."""
+    line = [f"t{k}" for k in range(60)]
+    rows = [(i, " ".join([*line, *(f"o{i // 2}_{k}" for k in range(60))] + ["end"] * (i % 2))) for i in range(20)]
+    exact, met, shared = Fraction(4, 5), [], sim._shared
+    table = spark.createDataFrame(rows, "id long, text string")
+    sketches = sim.written(sim.sketched(table, exact, "set").select("id", "set.n", "set.prefix", "set.fp", "set.odd"), "sketches")
+
+    def counted(entries, similarity):
+        met.append(entries)
+        return shared(entries, similarity)
+
+    monkeypatch.setattr(sim, "_shared", counted)
+    found = sim._cooled(sketches, table, exact, 4).collect()
+    assert len(met) == 1
+    late = {int(h) for h in sim.shingle_set(" ".join(line))}
+    assert late & {int(h) for r in sketches.collect() for h in r["prefix"]}
+    assert not late & {r["key"] for r in found} and {r["k"] for r in found} == {2}
+    assert {(r["id"], r["n"]) for r in found} == {(i, len(sim.shingle_set(t))) for i, t in rows}
+
+
 def test_a_group_of_near_copies_does_not_bring_all_its_pairs(spark):
     rng, base = np.random.default_rng(8), [f"w{k}" for k in range(150)]
     rows = []
