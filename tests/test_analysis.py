@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import LearnConfig
 from ledgerloom.operators.funding import FundingConfig, apply_funding
 from ledgerloom.operators.generator import GenConfig, Hardening, account, generate, run_comparison
-from ledgerloom.operators import learned
+from ledgerloom.operators import features, learned
 from ledgerloom.operators.learned import cross_validate, labelled_pairs, learned_attribution
 from ledgerloom.operators.accounts import ownership, public
 from ledgerloom.operators.features import FEATURES, pair_features
@@ -151,6 +151,16 @@ def test_pairs_are_made_in_their_cells_and_never_move(spark, small):
             assert r[f"{c}_jaccard"] == (both / (len(of[a]) + len(of[b]) - both) if both else 0)
 
 
+def test_blocks_are_read_by_their_cells_and_not_sent_to_each(spark, small, monkeypatch):
+    """Every row of an account was sent to as many cells as there are blocks."""
+    made = lambda: pair_features(public(small), ownership(small), LearnConfig())
+    want = sorted(map(tuple, made().collect()))
+    monkeypatch.setattr(features, "LEAST_BLOCKS", 3)
+    few = made()
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == want
+
+
 def test_pairs_get_their_labels_without_moving(spark, small, monkeypatch):
     monkeypatch.setattr(learned, "written", lambda df, label: df)
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
